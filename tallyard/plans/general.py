@@ -31,7 +31,7 @@ def p2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, path = compaction.compact(files)
     before = files.agg(F.count(F.lit(1)).alias("files"), F.count("body").alias("records"))
     written = spark.read.option("lineSep", compaction.SEPARATOR).text(path)
-    after = written.agg(F.count_distinct(F.input_file_name()).alias("files"), F.count(F.lit(1)).alias("records"))
+    after = written.select(F.input_file_name().alias("file")).agg(F.count_distinct("file").alias("files"), F.count("file").alias("records"))
     return before.select(F.lit("archive").alias("state"), "files", "records").unionByName(after.select(F.lit("containers").alias("state"), "files", "records"))
 
 
