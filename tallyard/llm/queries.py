@@ -6,12 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyard.durable import ship
-from tallyard.llm import packing, splits, tokens
+from tallyard.llm import packing, pairs, splits, tokens, truncation
 from tallyard.sources.tables import table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "raw_responses", "record_id", "messages", "response")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective question and answer pairs."""
+    ship(spark)
+    return pairs.defects(_raw(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Choices whose content breaks off."""
+    ship(spark)
+    return truncation.endings_of(truncation.choices(_raw(spark, sf_dir)).select("record_id", "choice_index", "content")).where("is_cut").select("record_id", "choice_index")
+
+
+def p5_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each provider's contents are cut; spellings of a provider differ in case and blanks only."""
+    ship(spark)
+    cut = truncation.endings_of(truncation.choices(_raw(spark, sf_dir)).select("provider", "content"))
+    return truncation.by_source(cut.withColumn("provider", F.lower(F.trim("provider"))))
+
+
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = table(spark, sf_dir, "responses", "prompt_id", "text")
     return splits.components(splits.ties(responses, splits.prompt_key(F.col("prompt_id")), F.col("text")))
@@ -62,7 +85,7 @@ _TIES = """
     r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
     select a as prompt_id, least(a, min(b)) as group_prompt_id from r group by a"""
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_splits, p7_ids, p7_decoded, p8_containers, p8_certificate)}
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_by_provider, p6_found, p6_splits, p7_ids, p7_decoded, p8_containers, p8_certificate)}
 SQL = {
     "p6_found": _TIES,
     "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
