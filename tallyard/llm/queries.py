@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyard.durable import ship
-from tallyard.llm import packing, pairs, splits, tokens, truncation
+from tallyard.llm import packing, pairs, pii, splits, tokens, truncation
 from tallyard.sources.tables import table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -78,6 +78,24 @@ def p8_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.certificate(p8_containers(spark, sf_dir))
 
 
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.find(docs, pii.train(docs))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values of personal information per document."""
+    ship(spark)
+    values = F.array_distinct(F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["found_text"].alias("found_text"))))
+    return _pii(spark, sf_dir).select("doc_id", F.inline(values))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    ship(spark)
+    return _pii(spark, sf_dir).select("doc_id", F.col("redacted").alias("text"))
+
+
 _TIES = """
     with recursive t as (select distinct upper(trim(prompt_id)) p, regexp_replace(text, '\\s', '', 'g') b from responses where text is not null and prompt_id is not null),
     f as (select * from t where b <> ''),
@@ -85,7 +103,7 @@ _TIES = """
     r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
     select a as prompt_id, least(a, min(b)) as group_prompt_id from r group by a"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_by_provider, p6_found, p6_splits, p7_ids, p7_decoded, p8_containers, p8_certificate)}
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_by_provider, p6_found, p6_splits, p7_ids, p7_decoded, p8_containers, p8_certificate, p9_found, p9_redacted)}
 SQL = {
     "p6_found": _TIES,
     "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
