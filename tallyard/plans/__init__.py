@@ -1 +1,3 @@
-MODULES = ("general",)
+"""Query modules; each has QUERIES (name to function of session and folder) and SQL (name to DuckDB text)."""
+
+MODULES = ("general", "relational")
