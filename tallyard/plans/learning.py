@@ -18,6 +18,8 @@ from tallyard.sources.tables import table
 
 QUERIES, SQL, query = registry()
 FOLDS = 5
+#: Rows of a training task; fewer make a fit of many short iterations mostly scheduling.
+ROWS_A_TASK = 20_000
 
 
 def r6(c: Column | str) -> Column:
@@ -37,7 +39,8 @@ def training(f: DataFrame, columns: tuple[str, ...] = text.FULL) -> DataFrame:
 
 def out_of_fold(data: DataFrame, kind: str, trees: int = 30, seed: int = 42, scale_c: float = 1.0) -> DataFrame:
     """(doc_id, fold, label, prediction): every fold predicted by a model of the others."""
-    data = materialise(data.select("doc_id", "fold", "label", "raw"), "training")
+    data = data.select("doc_id", "fold", "label", "raw")
+    data = materialise(data.coalesce(max(1, data.count() // ROWS_A_TASK)), "training")
     parts = []
     for k in range(FOLDS):
         train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
