@@ -92,7 +92,7 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     into full containers of its own and a rest that is packed like an item. Items of
     size 0 or null have a container too. Repeated rows are items of their own; a null id
     stays null. ``per_partition`` bounds what one task packs; an exchange joins
-    ``fan_in`` partitions, each giving at most ``per_partition / fan_in`` items.
+    ``fan_in`` partitions, each giving at most ``per_partition / fan_in`` items (64 at least).
     """
     size = F.coalesce(F.col(f"`{size_col}`").cast("bigint"), F.lit(0))
     base = materialise(items.select(F.col(f"`{id_col}`").alias("id"), size.alias("total"), F.monotonically_increasing_id().alias("row")), "items")
@@ -104,7 +104,7 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     groups = max(1, ceil(loose.count() / per_partition))
     cur = loose.withColumns({"grp": F.pmod(F.xxhash64("row"), F.lit(groups)), "container_id": F.lit(None).cast("string")})
     schema = "row bigint, piece int, n_tokens bigint, container_id string, grp bigint, is_open boolean"
-    release, closed, level = max(1, per_partition // fan_in), [], 0
+    release, closed, level = max(64, per_partition // fan_in), [], 0
     while True:
         last = groups == 1
         packed = materialise(cur.groupBy("grp").applyInPandas(_packer(capacity, level, release, last), schema), "packed")
