@@ -2,9 +2,9 @@
 
 Items are hashed into partitions of bounded size and packed there by best-fit
 decreasing. Dual feasible functions give a lower bound of each partition's
-containers; a partition that meets it is done. The others release their emptiest
-containers, whose items meet those of other partitions and are packed again, until one
-partition is left or every bound is met.
+containers; a partition that meets it keeps all but its emptiest one. The others release
+their emptiest containers, whose items meet those of other partitions and are packed
+again, until one partition is left.
 """
 
 from __future__ import annotations
@@ -70,10 +70,12 @@ def _pack_group(pdf: pd.DataFrame, capacity: int, level: int, release: int, last
         used = int(bins.max()) + 1
     bound = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
     is_open = np.zeros(len(bins), dtype=bool)
-    if used > bound and not last:
+    if not last:
         fill = np.bincount(bins, weights=sizes, minlength=used)
         held = np.bincount(bins, minlength=used)
         order = np.argsort(fill, kind="stable")
+        if used <= bound:  # certified: only the container that rounding up leaves part empty
+            order = order[:1]
         chosen = order[(held[order].cumsum() <= release) & (fill[order] < capacity)]
         flag = np.zeros(used, dtype=bool)
         flag[chosen] = True
