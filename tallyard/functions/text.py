@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyard.operators.spread import spread
+
 #: The word of the features: letters, digits, underscore, inner apostrophes and hyphens.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 SENTENCE_END = r"[.!?]+(?:[ \t\n\r\f]|$)"
@@ -54,7 +56,7 @@ def mean(values: Column) -> Column:
 def features(df, text: str = "text"):
     """``df`` with the 18 features of ``text``; intermediate arrays are dropped."""
     t = F.col("__t")
-    out = df.withColumn("__t", strip(F.col(text))).withColumn("__w", tokens(t))
+    out = spread(df, text).withColumn("__t", strip(F.col(text))).withColumn("__w", tokens(t))
     out = out.withColumn("__l", F.transform("__w", F.lower)).withColumn("__s", F.transform(pieces(t, SENTENCE_END), lambda s: F.size(tokens(s)).cast("double")))
     out = out.withColumns({"__p": F.transform(pieces(t, r"\n\s*\n"), lambda p: F.size(tokens(p)).cast("double")), "__y": F.transform("__w", syllables), "__o": F.array_sort("__l")})
     words, n = F.col("__w"), F.greatest(F.size("__w"), F.lit(1)).cast("double")
