@@ -99,10 +99,10 @@ def boot(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOOT = CTE + f", np as (select count(distinct prompt_no) as n from resp), w as (select d, {_U.format("'boot|' || d || '|' || prompt_no")} % (select n from np) as prompt_no, count(*) as w from (select distinct prompt_no from resp) p, {_D} group by 1, 2), o as (select cond, judge, prompt_no, sum(is_self * named_self) h, sum(is_self) hn, sum((1 - is_self) * named_self) f, sum(1 - is_self) fn from jfull group by 1, 2, 3), q as (select cond, author as judge, prompt_no, sum((1 - is_self) * correct) p, sum(1 - is_self) pn from jfull group by 1, 2, 3), boot as (select cond, judge, d, sum(h * w) / sum(hn * w) as hit, sum(f * w) / sum(fn * w) as fa, sum(p * w) / sum(pn * w) as peer, sum(hn * w) as n from o join q using (cond, judge, prompt_no) join w using (prompt_no) group by 1, 2, 3)"
 
 
-@query(_BOOT + " select cond, judge, round(quantile_cont(hit, 0.025), 6) as hit_low, round(quantile_cont(hit, 0.975), 6) as hit_high, round(quantile_cont(hit - fa, 0.025), 6) as disc_low, round(quantile_cont(hit - fa, 0.975), 6) as disc_high from boot group by 1, 2")
+@query(_BOOT + " select cond, judge, round(quantile_cont(hit, 0.025), 9) as hit_low, round(quantile_cont(hit, 0.975), 9) as hit_high, round(quantile_cont(hit - fa, 0.025), 9) as disc_low, round(quantile_cont(hit - fa, 0.975), 9) as disc_high from boot group by 1, 2")
 def sta21_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boot(spark, sf_dir)
-    q = lambda c, p: r6(F.percentile(c, p))
+    q = lambda c, p: F.round(F.percentile(c, p), 9)
     disc = F.col("hit") - F.col("fa")
     return b.groupBy("cond", "judge").agg(q("hit", 0.025).alias("hit_low"), q("hit", 0.975).alias("hit_high"), q(disc, 0.025).alias("disc_low"), q(disc, 0.975).alias("disc_high"))
 
@@ -195,13 +195,13 @@ def sta29_like_for_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flip(x, ["cond", "judge", "peer"], "like")
 
 
-@query(_BOOT + ", c as (select cond, author, judge, d, sum(correct * w) / sum(w) as r from jfull join w using (prompt_no) group by 1, 2, 3, 4), m as (select cond, author, d, max(r) filter (judge = author) - max(r) filter (judge <> author) as gap from c group by 1, 2, 3) select cond, author, round(quantile_cont(gap, 0.025), 6) as low, round(quantile_cont(gap, 0.5), 6) as median, round(quantile_cont(gap, 0.975), 6) as high from m group by 1, 2")
+@query(_BOOT + ", c as (select cond, author, judge, d, sum(correct * w) / sum(w) as r from jfull join w using (prompt_no) group by 1, 2, 3, 4), m as (select cond, author, d, max(r) filter (judge = author) - max(r) filter (judge <> author) as gap from c group by 1, 2, 3) select cond, author, round(quantile_cont(gap, 0.025), 9) as low, round(quantile_cont(gap, 0.5), 9) as median, round(quantile_cont(gap, 0.975), 9) as high from m group by 1, 2")
 def sta30_best_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own rate less the best peer's of the same draw."""
     c = full(spark, sf_dir).join(resampled(spark, sf_dir), "prompt_no").groupBy("cond", "author", "judge", "d").agg((F.sum(F.col("correct") * F.col("w")) / F.sum("w")).alias("r"))
     own = F.col("author") == F.col("judge")
     m = c.groupBy("cond", "author", "d").agg((F.max(F.when(own, F.col("r"))) - F.max(F.when(~own, F.col("r")))).alias("gap"))
-    return m.groupBy("cond", "author").agg(*[r6(F.percentile("gap", q)).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))])
+    return m.groupBy("cond", "author").agg(*[F.round(F.percentile("gap", q), 9).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))])
 
 
 @query(CTE + ", c as (select r.judge, r.prompt_id, list(r.quality order by r.author_idx) as qs, list(j.named_self order by r.author_idx) as ns from rate r join jfull j on j.prompt_id = r.prompt_id and j.author = r.author and j.judge = r.judge and j.cond = 'lineup' group by 1, 2), s as (select judge, d, sum(list_sum(list_transform(range(0, 5), lambda i: ns[i + 1] * qs[(i + " + _U.format("'fam|' || d || '|' || judge || '|' || prompt_id") + f") % 5 + 1]))) as sim, sum(list_sum(list_transform(range(0, 5), lambda i: ns[i + 1] * qs[i + 1]))) as seen from c, {_D} group by 1, 2) select judge, round(max(seen), 4) as seen, round((sum((sim >= seen - 1e-9)::int) + 1) / (count(*) + 1), 6) as p_value from s group by judge")
