@@ -93,6 +93,17 @@ def _defect(question: pd.Series, answer: pd.Series, refusal: pd.Series, finish:
     return pd.Series(out, dtype=object)
 
 
+@F.pandas_udf(T.BooleanType())
+def _echo(question: pd.Series, answer: pd.Series) -> pd.Series:
+    return pd.Series([is_echo(q, a) for q, a in zip(question, answer)], dtype="bool")
+
+
+def cut_answers(choices: DataFrame) -> DataFrame:
+    """``choices`` (with question and content) with ``is_cut``; an answer that repeats its whole question is complete, even without the final mark."""
+    ended = truncation.endings_of(choices)
+    return ended.withColumn("is_cut", F.when(F.col("is_cut"), ~_echo("question", "content")).otherwise(F.col("is_cut")))
+
+
 @F.pandas_udf(T.StructType([T.StructField("opening", T.StringType()), T.StructField("declines", T.BooleanType())]))
 def _opening(answer: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"opening": [" ".join(opening(a).lower().split()) for a in answer], "declines": [declines(a) for a in answer]})
@@ -136,7 +147,7 @@ def defects(raw: DataFrame) -> DataFrame:
     templates = refusal_templates(materialise(openings, "openings")).withColumn("template", F.lit(True))
     pairs = pairs.join(templates, "oid", "left").withColumn("template", F.coalesce("template", F.lit(False)))
     pairs = pairs.withColumn("defect", F.when(F.col("asked"), _defect("question", "content", "refusal", "finish_reason", "template")))
-    pairs = materialise(pairs.select("record_id", "choice_index", "content", "asked", "defect"), "pairs")
-    ended = truncation.endings_of(pairs)  # over all contents, as in the report of cut texts
+    pairs = materialise(pairs.select("record_id", "choice_index", "question", "content", "asked", "defect"), "pairs")
+    ended = cut_answers(pairs)  # over all contents, as in the report of cut texts
     defect = F.coalesce("defect", F.when(F.col("is_cut"), F.lit("truncated")))
     return ended.where("asked").select("record_id", "choice_index", defect.alias("defect")).where("defect is not null")

@@ -149,6 +149,12 @@ def test_defects(spark):
     assert pairs.defects(raw(spark).limit(0)).count() == 0
 
 
+def test_an_echo_without_its_mark_is_not_cut(spark):
+    q = "Count the boats on every pier. Show your working."
+    df = spark.createDataFrame([(1, q, q[:-1]), (2, None, q[:-1]), (3, q, "Count the boats on every pi")], "id int, question string, content string")
+    assert {r["id"]: r["is_cut"] for r in pairs.cut_answers(df).collect()} == {1: False, 2: True, 3: True}
+
+
 def test_queries_agree(spark, sf):
     cut = {(r[0], r[1]) for r in queries.p5_found(spark, sf).collect()}
     truncated = {(r[0], r[1]) for r in queries.p1_found(spark, sf).collect() if r[2] == "truncated"}
