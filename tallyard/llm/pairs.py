@@ -101,7 +101,9 @@ def _echo(question: pd.Series, answer: pd.Series) -> pd.Series:
 def cut_answers(choices: DataFrame) -> DataFrame:
     """``choices`` (with question and content) with ``is_cut``; an answer that repeats its whole question is complete, even without the final mark."""
     ended = truncation.endings_of(choices)
-    return ended.withColumn("is_cut", F.when(F.col("is_cut"), ~_echo("question", "content")).otherwise(F.col("is_cut")))
+    cut = F.col("is_cut")
+    echo = _echo(F.when(cut, F.col("question")), F.when(cut, F.col("content")))  # only cut ones travel to Python
+    return ended.withColumn("is_cut", F.when(cut, ~echo).otherwise(cut))
 
 
 @F.pandas_udf(T.StructType([T.StructField("opening", T.StringType()), T.StructField("declines", T.BooleanType())]))
