@@ -241,7 +241,7 @@ def sta24_skill_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("cond", "judge", "peer", r6(at(F.col("judge"), F.col("judge")) - at(F.col("peer"), F.col("judge")) - skill).alias("adjusted"))
 
 
-@query(_CELLS + ", b as (select cond, author, judge, avg(correct) r from judg where is_self = 0 group by 1, 2, 3), strong as (select cond, author, judge as peer from (select *, row_number() over (partition by cond, author order by r desc, judge) rn from b) where rn = 1), d as (select s.cond, s.author, sum((a.correct = 1 and p.correct = 0)::int)::bigint as b, sum((a.correct = 0 and p.correct = 1)::int)::bigint as c from strong s join judg a on a.cond = s.cond and a.author = s.author and a.judge = s.author join judg p on p.cond = s.cond and p.author = s.author and p.judge = s.peer and p.prompt_id = a.prompt_id group by 1, 2) select cond, author, b, c, round(list_sum(list_transform(range(b, b + c + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))), 9) as p_value from d")
+@query(_CELLS + ", b as (select cond, author, judge, avg(correct) r from judg where is_self = 0 group by 1, 2, 3), strong as (select cond, author, judge as peer from (select *, row_number() over (partition by cond, author order by r desc, judge) rn from b) where rn = 1), d as (select s.cond, s.author, sum((a.correct = 1 and p.correct = 0)::int)::bigint as b, sum((a.correct = 0 and p.correct = 1)::int)::bigint as c from strong s join judg a on a.cond = s.cond and a.author = s.author and a.judge = s.author join judg p on p.cond = s.cond and p.author = s.author and p.judge = s.peer and p.prompt_id = a.prompt_id group by 1, 2) select cond, author, b, c, round(list_sum(list_transform(range(b, b + c + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) + 1e-12, 9) as p_value from d")
 def sta28_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own judge against the strongest peer on the same texts, one-sided."""
     j = judgments(spark, sf_dir).select("cond", "author", "judge", "prompt_id", "correct", "is_self")
@@ -249,7 +249,7 @@ def sta28_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     strong = rate.withColumn("rn", F.row_number().over(W.partitionBy("cond", "author").orderBy(F.desc("r"), "judge"))).where("rn = 1").select("cond", "author", "judge")
     peer = j.join(F.broadcast(strong), ["cond", "author", "judge"]).select("cond", "author", "prompt_id", F.col("correct").alias("pc"))  # ten rows: formats by authors
     d = j.where("is_self = 1").join(peer, ["cond", "author", "prompt_id"]).groupBy("cond", "author").agg(F.sum(F.expr("cast(correct = 1 and pc = 0 as int)")).alias("b"), F.sum(F.expr("cast(correct = 0 and pc = 1 as int)")).alias("c"))
-    return d.select("cond", "author", "b", "c", r9(exact.binomial_at_least(F.col("b"), F.col("b") + F.col("c"), 0.5)).alias("p_value"))
+    return d.select("cond", "author", "b", "c", r9(exact.binomial_at_least(F.col("b"), F.col("b") + F.col("c"), 0.5) + 1e-12).alias("p_value"))  # tails of fair coins end in a five: both engines round it up
 
 
 @query(CTE + ", g as (select cond, judge, prompt_id, avg(named_self) as m, count(*) as k, var_samp(named_self) as v from jfull group by 1, 2, 3), a as (select cond, judge, 5 * var_samp(m) as msb, avg(v) as msw from g group by 1, 2) select cond, judge, round((msb - msw) / nullif(msb + 4 * msw, 0), 6) as icc, round(1 + 4 * (msb - msw) / nullif(msb + 4 * msw, 0), 6) as design_effect from a")
