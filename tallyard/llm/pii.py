@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyard.durable import materialise
 from tallyard.operators.spread import spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
@@ -104,7 +105,7 @@ _ID_LABEL = re.compile(r"(?:\b(?:ssn|soc(?:ial|\.)?\s*sec(?:urity|\.)?|national\
 _ID_BAD = re.compile(r"\b(?:batch|order|item|invoice|lot|seed|run|ticket|build|version|ref|part|serial|call|gen)\b[\w ]{0,6}\.?\s*(?:no\.?|nr\.?|number|#)?\s*:?\s*$", re.I)
 _PHONE_LABEL = re.compile(r"\b(?:tel|tél|teléfono|telefon|téléphone|phone|mobile|mobil|móvil|cell|fax|call|whatsapp|number has changed to|reach\b.{0,40}\bon|llam\w*|appel\w*|unter|ring|text|al|au|handy)\b[\"'.:= ]*(?:me at|me on|on|at|to|al|le|unter|el)?\s*[\"':= ]*$", re.I)
 _NAME_LABEL = re.compile(
-    r"(?:\b(?:signed|according to|rated by|contact|contacto|kontakt|laut|según|selon|parcel for|form lists|lists|reach|llamar a|appeler|i am|ich bin|soy|je suis|annotator|maintainer|owner|bill it to|gruß|grüßen|regards|saludos|cordialement|atentamente|joindre|name|nombre|nom|author|autor|sender|paket an|paquete para|colis pour)\b[,:=\s]*[\"'#]*\s*|(?:mr|mrs|ms|dr|prof|herr|frau|sra?|mme|m|monsieur|madame|señora?|don|doña)\.?\s+)$",
+    r"(?:\b(?:signed|according to|rated by|contact|contacto|kontakt|laut|según|selon|parcel for|form lists|lists|reach|llamar a|appeler|i am|ich bin|soy|je suis|annotator|maintainer|owner|bill it to|gruß|grüßen|regards|saludos|cordialement|atentamente|joindre|name|nombre|nom|author|autor|sender|paket an|paquete para|colis pour)\b[,:=\s]*[\"'#]*\s*|\b(?:mr|mrs|ms|dr|prof|herr|frau|sra?|mme|m|monsieur|madame|señora?|don|doña)\.?\s+)$",
     re.I,
 )
 
@@ -186,8 +187,8 @@ def _name_spans(text: str) -> Iterator[tuple[int, int, list[tuple[str, str]], bo
 class Words:
     """What the corpus says about words.
 
-    ``common``: name-like strings found in so many documents that they are places,
-    headings or models, not persons; ``low``: words of the training sample that occur
+    ``common``: name-like strings found in so many distinct texts, and there so seldom in
+    the contexts of names, that they are places, headings or models, not persons; ``low``: words of the training sample that occur
     in lower case; ``often``: of its capitalised words, how many documents in 10,000.
     """
 
@@ -253,7 +254,7 @@ def candidates(text: str, words_of: Words | None = None) -> list[Candidate]:
         names += [f"low={sum(w in known_words.low for w in words)}", f"gl={given in known_words.low}", f"fl={family in known_words.low}", f"fo={_often(known_words.often.get(family, 0))}", f"go={_often(known_words.often.get(given, 0)) if given != '^' else '^'}"]
         anchored = bool(_NAME_LABEL.search(before)) and not (start and text[start - 1].isalnum())
         often = t.lower() in common or any(w in common for w in (" ".join(words), *( [given] if given in common else [])))
-        add("person_name", start, end, names + [f"often={often}"], [f"label={anchored}"], 0 if often else 1 if anchored and len(tokens) in (2, 3) and not swapped else None)
+        add("person_name", start, end, names + [f"often={often}"], [f"label={anchored}"], 1 if anchored and len(tokens) in (2, 3) and not swapped else 0 if often else None)
     return out
 
 
@@ -412,32 +413,57 @@ def redact(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
     return "".join(out) + text[at:]
 
 
+_SIGNED_OFF = re.compile(r"(?:^|\n)[ \t>*_—–-]*$")
+_PHRASE = re.compile(rf"[{_UP}][{_LOW}]+(?: (?:(?:{_PARTICLES}) )*[{_UP}][{_LOW}]+){{0,2}}")
+#: A phrase that stands in a name's context in more than this share of its texts may be a person's name, however frequent.
+SELDOM = 0.1
+
+
+def phrases(text: str) -> dict[str, bool]:
+    """The capitalised phrases of two or more words, in lower case; whether one stands after a title or label of names, or signs the text off."""
+    out: dict[str, bool] = {}
+    for m in _PHRASE.finditer(text):
+        if " " in m.group():
+            before = text[max(0, m.start() - 40) : m.start()]
+            named = bool(_NAME_LABEL.search(before)) or (m.start() > 0 and bool(_SIGNED_OFF.search(before)) and not re.search(r"\w", text[m.end() :]))
+            x = m.group().lower()
+            out[x] = out.get(x, False) or named
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, share: float = 0.002) -> Model:
     """Fit on at most about ``sample`` documents, taken by hash of text.
 
-    The strings too common for a person (in more than ``share`` of all documents, and
-    in at least 12) are counted over all documents; there are at most candidates per
-    document / share of them.
+    The strings too common for a person (in more than ``share`` of all distinct texts,
+    in at least 12, and seldom in a name's context) are counted over all documents;
+    there are at most candidates per document / share of them.
     """
     text = F.col(f"`{text_col}`")
     total = docs.where(text.isNotNull()).count()
     every = max(1, ceil(total / sample))
     rows = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(every)) == 0)).select(text.alias("t")).collect()
-    phrase = rf"[{_UP}][{_LOW}]+(?: (?:(?:{_PARTICLES}) )*[{_UP}][{_LOW}]+){{0,2}}"
+    common = common_phrases(docs, text_col, share)
+    return fit([r["t"] for r in rows], common)
 
-    def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = re.compile(phrase).findall
+
+def common_phrases(docs: DataFrame, text_col: str = "text", share: float = 0.002) -> frozenset[str]:
+    text = F.col(f"`{text_col}`")
+    texts = materialise(docs.where(text.isNotNull()).select(text.alias("t")).distinct(), "texts")
+    total = texts.count()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: dict[str, int] = {}
+            seen: dict[str, list[int]] = {}
             for t in pdf["t"]:
-                for x in set(find(t)):
-                    seen[x.lower()] = seen.get(x.lower(), 0) + 1
-            yield pd.DataFrame({"p": list(seen), "n": list(seen.values())})
-
-    counted = spread(docs.where(text.isNotNull()).select(text.alias("t")), "t").mapInPandas(phrases, "p string, n bigint").groupBy("p").agg(F.sum("n").alias("n"))
-    often = counted.where((F.col("n") >= max(12, total * share)) & F.col("p").contains(" ")).select("p").collect()
-    common = frozenset(r["p"] for r in often)
-    return fit([r["t"] for r in rows], common)
+                for x, named in phrases(t).items():
+                    s = seen.setdefault(x, [0, 0])
+                    s[0] += 1
+                    s[1] += named
+            yield pd.DataFrame({"p": list(seen), "n": [n for n, _ in seen.values()], "named": [k for _, k in seen.values()]})
+
+    counted = spread(texts, "t").mapInPandas(count, "p string, n bigint, named bigint").groupBy("p").agg(F.sum("n").alias("n"), F.sum("named").alias("named"))
+    often = counted.where((F.col("n") >= max(12, total * share)) & (F.col("named") <= SELDOM * F.col("n")))
+    return frozenset(r["p"] for r in often.select("p").collect())
 
 
 def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
