@@ -16,9 +16,9 @@ neighbouring words carry weight of their own.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import ceil
 from zlib import crc32
 
 import numpy as np
@@ -188,8 +188,8 @@ class Words:
     """What the corpus says about words.
 
     ``common``: name-like strings found in so many distinct texts, and there so seldom in
-    the contexts of names, that they are places, headings or models, not persons; ``low``: words of the training sample that occur
-    in lower case; ``often``: of its capitalised words, how many documents in 10,000.
+    the contexts of names, that they are places, headings or models, not persons; ``low``: capitalised words of the corpus that occur
+    in lower case too; ``often``: of its capitalised words, how many texts in 10,000.
     """
 
     common: frozenset[str] = frozenset()
@@ -331,19 +331,25 @@ def _train(rows: list[list[int]], ys: list[float], sums: list[tuple[int, int]],
     return w, extra
 
 
-def fit(texts: list[str], common: frozenset[str], epochs: int = 8, seed: int = 7) -> Model:
+def cases(text: str) -> tuple[set[str], set[str]]:
+    """The words of a text that occur in lower case, and those that occur with a capital, in lower case."""
+    words = set(_WORD.findall(text))
+    return {w for w in words if w.islower()}, {w.lower() for w in words if w[:1].isupper()}
+
+
+def fit(texts: list[str], common: frozenset[str], epochs: int = 8, seed: int = 7, words: Words | None = None) -> Model:
     """Pseudo-likelihood training: logistic regression of each labelled node on its features and its neighbours' labels.
 
     A second round adds the nodes about which the first is sure (above 0.9, below 0.1).
     """
-    low, caps = set(), {}
-    for t in texts:
-        for w in set(_WORD.findall(t)):
-            if w.islower():
-                low.add(w)
-            elif w[:1].isupper():
-                caps[w.lower()] = caps.get(w.lower(), 0) + 1
-    words_of = Words(common, frozenset(low), {w: max(1, n * 10_000 // max(1, len(texts))) for w, n in caps.items()})
+    if words is None:
+        low, caps = set(), Counter()
+        for t in texts:
+            lower, upper = cases(t)
+            low |= lower
+            caps.update(upper)
+        words = Words(common, frozenset(low), {w: max(1, n * 10_000 // max(1, len(texts))) for w, n in caps.items()})
+    words_of = words
     rng = np.random.default_rng(seed)
     docs = []
     for t in texts:
@@ -432,38 +438,68 @@ def phrases(text: str) -> dict[str, bool]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, share: float = 0.002) -> Model:
-    """Fit on at most about ``sample`` documents, taken by hash of text.
+    """Fit on ``sample`` distinct texts, or all if there are fewer: those of the least hashes.
 
-    The strings too common for a person (in more than ``share`` of all distinct texts,
-    in at least 12, and seldom in a name's context) are counted over all documents;
-    there are at most candidates per document / share of them.
+    What the corpus says about words and phrases is counted over all documents.
     """
     text = F.col(f"`{text_col}`")
-    total = docs.where(text.isNotNull()).count()
-    every = max(1, ceil(total / sample))
-    rows = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(every)) == 0)).select(text.alias("t")).collect()
-    common = common_phrases(docs, text_col, share)
-    return fit([r["t"] for r in rows], common)
+    texts = materialise(docs.where(text.isNotNull()).select(text.alias("t")).distinct(), "texts")
+    words = words_of(texts, share)
+    least = texts.select(F.xxhash64("t").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = texts.where(F.xxhash64("t") <= F.lit(least)).collect() if least is not None else []
+    return fit(sorted(r["t"] for r in rows), words.common, words=words)
+
+
+#: Words in lower case that are kept, those of the most texts first; they go to the driver and to every task.
+VOCABULARY = 1_000_000
 
 
 def common_phrases(docs: DataFrame, text_col: str = "text", share: float = 0.002) -> frozenset[str]:
     text = F.col(f"`{text_col}`")
-    texts = materialise(docs.where(text.isNotNull()).select(text.alias("t")).distinct(), "texts")
+    return words_of(docs.where(text.isNotNull()).select(text.alias("t")).distinct(), share).common
+
+
+def words_of(texts: DataFrame, share: float = 0.002, vocabulary: int = VOCABULARY) -> Words:
+    """Counts over all of ``texts``, distinct ones in a column ``t``.
+
+    ``common``: phrases in more than ``share`` of them, in at least 12, and seldom in a
+    name's context; at most candidates per text / share. ``often`` leaves out words in
+    fewer than two texts in 10,000, for which features are the same as for none; so it has
+    at most 5,000 times the words of a text. ``low`` holds words that occur with a capital
+    too, as only such are asked for, and at most ``vocabulary`` of them.
+    """
     total = texts.count()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phrase: dict[str, list[int]] = {}
+        word: dict[str, list[int]] = {}
+
+        def flush() -> pd.DataFrame:
+            both = [(True, x, n, k) for x, (n, k) in phrase.items()] + [(False, x, n, k) for x, (n, k) in word.items()]
+            return pd.DataFrame(both, columns=["phrase", "x", "n", "k"])
+
         for pdf in batches:
-            seen: dict[str, list[int]] = {}
             for t in pdf["t"]:
                 for x, named in phrases(t).items():
-                    s = seen.setdefault(x, [0, 0])
+                    s = phrase.setdefault(x, [0, 0])
                     s[0] += 1
                     s[1] += named
-            yield pd.DataFrame({"p": list(seen), "n": [n for n, _ in seen.values()], "named": [k for _, k in seen.values()]})
-
-    counted = spread(texts, "t").mapInPandas(count, "p string, n bigint, named bigint").groupBy("p").agg(F.sum("n").alias("n"), F.sum("named").alias("named"))
-    often = counted.where((F.col("n") >= max(12, total * share)) & (F.col("named") <= SELDOM * F.col("n")))
-    return frozenset(r["p"] for r in often.select("p").collect())
+                lower, upper = cases(t)
+                for x in upper:
+                    word.setdefault(x, [0, 0])[0] += 1
+                for x in lower:
+                    word.setdefault(x, [0, 0])[1] += 1
+            if len(phrase) + len(word) > 200_000:
+                yield flush()
+                phrase, word = {}, {}
+        yield flush()
+
+    parts = spread(texts, "t").mapInPandas(count, "phrase boolean, x string, n bigint, k bigint")
+    counted = materialise(parts.groupBy("phrase", "x").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "words")
+    common = counted.where(F.col("phrase") & (F.col("n") >= max(12, total * share)) & (F.col("k") <= SELDOM * F.col("n"))).select("x").collect()
+    often = counted.where(~F.col("phrase") & (F.col("n") * 10_000 >= 2 * total) & (F.col("n") > 0)).select("x", "n").collect()
+    low = counted.where(~F.col("phrase") & (F.col("n") > 0) & (F.col("k") > 0)).orderBy(F.desc("k"), "x").limit(vocabulary).select("x").collect()
+    return Words(frozenset(r["x"] for r in common), frozenset(r["x"] for r in low), {r["x"]: r["n"] * 10_000 // total for r in often})
 
 
 def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
