@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyard.durable import fresh_path
+from tallyard.durable import fresh_path, materialise
 from tallyard.operators.delivery import keep_one
 
 SEPARATOR, ESCAPE = "\x1e", "\x1b"
@@ -144,3 +144,60 @@ def calls(records: DataFrame, payload: str = "payload") -> DataFrame:
 def distinct_calls(records: DataFrame) -> DataFrame:
     """Every call exactly once, told apart by (request_model, response_id), with the smallest payload that holds it."""
     return keep_one(calls(records), ["request_model", "response_id"], [F.octet_length("payload"), F.col("payload")], ["payload"])
+
+
+def call_objects(text: str | None) -> list[tuple[str, str, str]]:
+    """(request_model, response.id, text) of the calls of ``calls_in``: each as its own object, character for character."""
+    out: dict[tuple[str, str], str] = {}
+    todo: list[tuple[str, set | None]] = [(text or "", None)]
+    while todo:
+        piece, among = todo.pop()
+        for a, b in _spans(piece):
+            try:
+                value = json.loads(piece[a:b])
+                held = set(_walk(value))
+            except (ValueError, RecursionError):
+                todo.append((piece[a + 1 : b - 1], among))
+                continue
+            held = held if among is None else held & among
+            if not held:
+                continue
+            response = value.get("response")
+            key = (value.get("request_model"), response.get("id") if isinstance(response, dict) else None)
+            if key in held:
+                out.setdefault(key, piece[a:b])
+            else:
+                todo.append((piece[a + 1 : b - 1], held))
+    return [(m, i, t) for (m, i), t in out.items()]
+
+
+_OBJECT = T.StructType([T.StructField(n, T.StringType()) for n in ("request_model", "response_id", "call")])
+
+
+@F.pandas_udf(T.ArrayType(_OBJECT))
+def _scan_objects(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: [dict(zip(("request_model", "response_id", "call"), x)) for x in call_objects(b)])
+
+
+def write_calls(records: DataFrame, target_bytes: int = 128 << 20, path: str | None = None) -> tuple[DataFrame, str]:
+    """Write every call of ``records`` (column payload) exactly once into files of about ``target_bytes``; return (calls, path).
+
+    The calls have request_model, response_id and call, the object itself without what
+    surrounds it in its file. Raises if keys or bytes of the written files differ.
+    """
+    spark = records.sparkSession
+    path = path or fresh_path(spark, "calls")
+    found = records.where(F.col("payload").contains("request_model")).select(F.inline(_scan_objects("payload")))
+    once = materialise(keep_one(found, ["request_model", "response_id"], [F.octet_length("call"), F.col("call")], ["call"]), "once")
+    value = once.select(_stuff(F.col("call")).alias("value"))
+    before = value.select(*_fingerprint(F.col("value"))).first()
+    value.coalesce(max(1, ceil(int(before["bytes"] or 0) / target_bytes))).write.option("lineSep", SEPARATOR).text(path)
+    written = spark.read.option("lineSep", SEPARATOR).text(path)
+    after = written.select(*_fingerprint(F.col("value"))).first()
+    back = written.select(_unstuff(F.col("value")).alias("call")).select("call", F.inline(_scan_calls("call")))
+    keys = calls(records).select("request_model", "response_id").distinct()
+    there = back.select("request_model", "response_id")
+    wrong = there.groupBy("request_model", "response_id").count().join(keys.withColumn("due", F.lit(1)), ["request_model", "response_id"], "full").where("count is null or count <> 1 or due is null").count()
+    if before != after or wrong:
+        raise ValueError(f"calls differ from their sources: {before} and {after}, {wrong} keys")
+    return back.select("request_model", "response_id", "call"), path

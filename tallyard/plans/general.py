@@ -25,6 +25,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.distinct_calls(records).select("request_model", "response_id")
 
 
+def p2_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call exactly once, as its own object, read back from the files that hold nothing else."""
+    ship(spark)
+    records, _ = compaction.compact(table(spark, sf_dir, "raw_files", "body"))
+    return compaction.write_calls(records)[0]
+
+
 def p2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive before and after: files, records and bytes."""
     files = table(spark, sf_dir, "raw_files", "body")
@@ -85,7 +92,7 @@ _EACH = "(select record_id, unnest(response.choices) c, generate_subscripts(resp
 _TOKEN = f"(select record_id, {_CHOICE} ci, unnest(c.logprobs.content) t, generate_subscripts(c.logprobs.content, 1) - 1 tp from {_EACH}) v"
 _KEPT = "(select *, row_number() over (partition by cond, item_id order by coalesce(ok, false) desc, record_no desc) rn from panel_records)"
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_compaction, p3_found, p3_responses, p3_choices, p3_tokens, p4_found, p4_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_calls, p2_compaction, p3_found, p3_responses, p3_choices, p3_tokens, p4_found, p4_kept)}
 
 SQL = {
     "p2_compaction": "select 'archive' as state, count(*) as files, count(body) as records from raw_files union all select 'containers', 1, count(body) from raw_files",
