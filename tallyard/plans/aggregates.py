@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyard.plans.registry import registry
-from tallyard.sources.fixtures import CTE, MODELS, judgments, judgments_all, ratings, responses
+from tallyard.sources.fixtures import CTE, MODELS, judgments, judgments_all, quality, ratings, responses
 from tallyard.sources.tables import table
 
 QUERIES, SQL, query = registry()
@@ -32,6 +32,12 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Correlation over the rows that have both; null where either doesn't vary."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 @query(CTE + "select cond, judge, sum(named_self)::bigint as k, count(*) as n, round(avg(named_self), 6) as rate from judg where is_self = 1 group by cond, judge")
 def agg01_self_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judgments(spark, sf_dir).where("is_self = 1").groupBy("cond", "judge").agg(F.sum("named_self").alias("k"), n().alias("n"), r6(F.avg("named_self")).alias("rate"))
@@ -178,20 +184,20 @@ def agg18_yes_no(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("judge").agg(n().alias("n"), r6(avg_if(own, "y")).alias("hit"), r6(avg_if(other, "y")).alias("fa"), r6(avg_if(own, "p_yes")).alias("p_own"), r6(avg_if(other, "p_yes")).alias("p_other"), r6(F.avg("mass")).alias("mass"))
 
 
-@query(CTE + ", rel as (select prompt_id, author, author_idx, judge, lp_cond - avg(lp_cond) over (partition by prompt_id, author) as rel from rate), best as (select prompt_id, author, judge, row_number() over (partition by prompt_id, author order by rel desc, judge) rn from rel) select author, count(*) as n, sum((judge = author)::int)::bigint as hits from best where rn = 1 group by author")
+@query(CTE + ", rel as (select prompt_id, author, author_idx, judge, lp_cond - avg(lp_cond) over (partition by block, author) as rel, block from rate), best as (select block, author, judge, row_number() over (partition by block, author order by rel desc, judge) rn from rel) select author, count(*) as n, sum((judge = author)::int)::bigint as hits from best where rn = 1 group by author")
 def agg19_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts attributed to the scorer with the highest relative likelihood."""
     from tallyard.operators.delivery import keep_one
 
-    r = ratings(spark, sf_dir).withColumn("rel", F.col("lp_cond") - F.avg("lp_cond").over(W.partitionBy("prompt_id", "author")))
-    best = keep_one(r, ["prompt_id", "author"], [-F.col("rel"), F.col("judge")], ["judge", "rel"])
+    r = ratings(spark, sf_dir).withColumn("rel", F.col("lp_cond") - F.avg("lp_cond").over(W.partitionBy("block", "author")))
+    best = keep_one(r, ["block", "author"], [-F.col("rel"), F.col("judge")], ["judge", "rel"])
     return best.groupBy("author").agg(n().alias("n"), cnt("judge = author").alias("hits"))
 
 
-@query(CTE + "select judge, round((avg(quality) filter (author = judge) - avg(quality) filter (author <> judge)) - (select avg(quality) filter (author = r.judge) - avg(quality) filter (author <> r.judge) from rate x where x.judge <> r.judge), 6) as preference from rate r group by judge")
+@query(CTE + "select judge, round((avg(quality) filter (author = judge) - avg(quality) filter (author <> judge)) - (select avg(quality) filter (author = r.judge) - avg(quality) filter (author <> r.judge) from qual x where x.judge <> r.judge), 6) as preference from qual r group by judge")
 def agg20_self_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Double difference: own against others' texts, by the judge and by the other judges."""
-    cell = ratings(spark, sf_dir).groupBy("judge", "author").agg(F.sum("quality").alias("s"), n().alias("k"))
+    cell = quality(spark, sf_dir).groupBy("judge", "author").agg(F.sum("quality").alias("s"), n().alias("k"))
     cell = cell.withColumns({"ts": F.sum("s").over(W.partitionBy("author")), "tk": F.sum("k").over(W.partitionBy("author"))})
     own = F.col("author") == F.col("judge")
     mine = lambda o: F.sum(F.when(o, F.col("s"))) / F.sum(F.when(o, F.col("k")))
@@ -199,18 +205,18 @@ def agg20_self_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell.groupBy("judge").agg(r6((mine(own) - mine(~own)) - (rest(own) - rest(~own))).alias("preference"))
 
 
-@query(CTE + "select author, round(avg(quality), 6) as mean, round(stddev_samp(quality), 6) as sd, count(*) as n from rate group by author")
+@query(CTE + "select author, round(avg(quality), 6) as mean, round(stddev_samp(quality), 6) as sd, count(*) as n from qual group by author")
 def agg21_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings(spark, sf_dir).groupBy("author").agg(r6(F.avg("quality")).alias("mean"), r6(F.stddev_samp("quality")).alias("sd"), n().alias("n"))
+    return quality(spark, sf_dir).groupBy("author").agg(r6(F.avg("quality")).alias("mean"), r6(F.stddev_samp("quality")).alias("sd"), n().alias("n"))
 
 
-@query(CTE + ", rk as (select judge, prompt_id, author, rank() over (partition by judge, prompt_id order by quality) + (count(*) over (partition by judge, prompt_id, quality) - 1) / 2 as mr from rate) select a.judge as a, b.judge as b, round(corr(a.mr, b.mr), 6) as rho from rk a join rk b using (prompt_id, author) where a.judge < b.judge group by 1, 2")
+@query(CTE + ", rk as (select judge, block, author, rank() over (partition by judge, block order by quality) + (count(*) over (partition by judge, block, quality) - 1) / 2 as mr from qual) select a.judge as a, b.judge as b, round(covar_pop(a.mr, b.mr) / nullif(stddev_pop(a.mr) * stddev_pop(b.mr), 0), 6) as rho from rk a join rk b using (block, author) where a.judge < b.judge group by 1, 2")
 def agg22_rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of raters' ranks within prompts: sums of one pass over texts, no self-join of ratings."""
-    mr = F.rank().over(W.partitionBy("judge", "prompt_id").orderBy("quality")) + (F.count(F.lit(1)).over(W.partitionBy("judge", "prompt_id", "quality")) - 1) / 2
-    wide = ratings(spark, sf_dir).withColumn("mr", mr).groupBy("prompt_id", "author").pivot("judge", list(MODELS)).agg(F.max("mr"))
+    mr = F.rank().over(W.partitionBy("judge", "block").orderBy("quality")) + (F.count(F.lit(1)).over(W.partitionBy("judge", "block", "quality")) - 1) / 2
+    wide = quality(spark, sf_dir).withColumn("mr", mr).groupBy("block", "author").pivot("judge", list(MODELS)).agg(F.max("mr"))
     pairs = [(a, b) for a in MODELS for b in MODELS if a < b]
-    return wide.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col(f"`{a}|{b}`")).alias("rho")) for a, b in pairs])))
+    return wide.agg(*[correlation(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs]).select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col(f"`{a}|{b}`")).alias("rho")) for a, b in pairs])))
 
 
 def cued(j: DataFrame) -> DataFrame:
@@ -258,12 +264,12 @@ def agg27_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.coalesce("condition", F.lit("all")).alias("condition"), F.coalesce("model", F.lit("all")).alias("model"), "calls", "tokens", "cost")
 
 
-@query(CTE + "select p.prompt_id as prompt_id, coalesce(sum(named_self) filter (is_self = 1), 0)::bigint as num, coalesce(sum(is_self), 0)::bigint as den from (select distinct prompt_id from resp) p left join (select * from judg where cond = 'single' and judge = 'GPT') j using (prompt_id) group by p.prompt_id")
+@query(CTE + "select p.prompt_id as prompt_id, p.m as judge, coalesce(sum(named_self) filter (is_self = 1), 0)::bigint as num, coalesce(sum(is_self), 0)::bigint as den from (select distinct prompt_id, m from resp, models) p left join (select * from judg where cond = 'single') j on j.prompt_id = p.prompt_id and j.judge = p.m group by 1, 2")
 def agg28_per_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numerators and denominators for every prompt, zero where a judge said nothing."""
-    p = responses(spark, sf_dir).select("prompt_id").distinct()
-    j = judgments(spark, sf_dir).where("cond = 'single' and judge = 'GPT'").groupBy("prompt_id").agg(cnt("is_self = 1 and named_self = 1").alias("num"), F.sum("is_self").alias("den"))
-    return p.join(j, "prompt_id", "left").select("prompt_id", F.coalesce("num", F.lit(0)).cast("bigint").alias("num"), F.coalesce("den", F.lit(0)).cast("bigint").alias("den"))
+    """Numerators and denominators for every prompt and judge, zero where a judge said nothing."""
+    p = responses(spark, sf_dir).select("prompt_id").distinct().select("prompt_id", F.explode(F.array(*map(F.lit, MODELS))).alias("judge"))
+    j = judgments(spark, sf_dir).where("cond = 'single'").groupBy("prompt_id", "judge").agg(cnt("is_self = 1 and named_self = 1").alias("num"), F.sum("is_self").alias("den"))
+    return p.join(j, ["prompt_id", "judge"], "left").select("prompt_id", "judge", F.coalesce("num", F.lit(0)).cast("bigint").alias("num"), F.coalesce("den", F.lit(0)).cast("bigint").alias("den"))
 
 
 def _rates(j: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tallyard.operators.delivery import keep_one
 from tallyard.operators.ordering import numbered
 from tallyard.operators.quality import one_to_one
 from tallyard.plans.registry import registry
-from tallyard.sources.fixtures import CTE, MODELS, judgments, judgments_all, ratings, responses
+from tallyard.sources.fixtures import CTE, MODELS, judgments, judgments_all, quality, ratings, responses, yes_no
 from tallyard.sources.tables import table
 
 QUERIES, SQL, query = registry()
@@ -176,11 +176,11 @@ def prj09_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("hits > 0 and hits < n").select("cond", "prompt_id", "judge", "hits")
 
 
-@query(CTE + "select prompt_id, max(case when judge = 'GPT' then correct end) as \"GPT\", max(case when judge = 'Claude' then correct end) as \"Claude\", max(case when judge = 'Gemini' then correct end) as \"Gemini\", max(case when judge = 'Grok' then correct end) as \"Grok\", max(case when judge = 'DeepSeek' then correct end) as \"DeepSeek\" from judg where cond = 'lineup' and author = 'GPT' group by prompt_id having count(*) = 5")
+@query(CTE + "select author, prompt_id, max(case when judge = 'GPT' then correct end) as \"GPT\", max(case when judge = 'Claude' then correct end) as \"Claude\", max(case when judge = 'Gemini' then correct end) as \"Gemini\", max(case when judge = 'Grok' then correct end) as \"Grok\", max(case when judge = 'DeepSeek' then correct end) as \"DeepSeek\" from judg where cond = 'lineup' group by author, prompt_id having count(*) = 5")
 def prj10_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete cases of judges by prompt."""
-    j = judgments(spark, sf_dir).where("cond = 'lineup' and author = 'GPT'")
-    return j.groupBy("prompt_id").pivot("judge", list(MODELS)).agg(F.max("correct")).dropna()
+    j = judgments(spark, sf_dir).where("cond = 'lineup'")
+    return j.groupBy("author", "prompt_id").pivot("judge", list(MODELS)).agg(F.max("correct")).dropna()
 
 
 @query("select record_id, c.finish_reason as finish_reason, case when c.message.content is null or trim(c.message.content) = '' then 'empty' when c.finish_reason = 'length' then 'truncated' when c.finish_reason = 'content_filter' or c.message.refusal is not null then 'refused' else 'kept' end as mark from (select record_id, unnest(response.choices) c from raw_responses)")
@@ -224,23 +224,23 @@ def jon02_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judgments(spark, sf_dir).select("k", "prompt_id", "author").join(r, ["prompt_id", "author"], "left").select("k", "length_rank")
 
 
-@query(CTE + "select judg.k, rate.quality from judg join rate on judg.prompt_id = rate.prompt_id and judg.author = rate.author and judg.judge = rate.judge where judg.is_self = 0")
+@query(CTE + "select judg.k, qual.quality from judg join qual using (item) where judg.is_self = 0")
 def jon03_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = judgments(spark, sf_dir).where("is_self = 0").select("k", "prompt_id", "author", "judge")
-    return j.join(ratings(spark, sf_dir).select("prompt_id", "author", "judge", "quality"), ["prompt_id", "author", "judge"]).select("k", "quality")
+    j = judgments(spark, sf_dir).where("is_self = 0").select("k", "item")
+    return j.join(quality(spark, sf_dir).select("item", "quality"), "item").select("k", "quality")
 
 
-@query(CTE + "select judg.k, round(rate.lp_cond - rate.lp_uncond, 6) as relative from judg join rate on judg.prompt_id = rate.prompt_id and judg.author = rate.author and judg.judge = rate.judge where judg.named_self = 1")
+@query(CTE + "select judg.k, round(rate.lp_cond - rate.lp_uncond, 6) as relative from judg join rate using (item) where judg.named_self = 1")
 def jon04_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = judgments(spark, sf_dir).where("named_self = 1").select("k", "prompt_id", "author", "judge")
-    r = ratings(spark, sf_dir).select("prompt_id", "author", "judge", F.round(F.col("lp_cond") - F.col("lp_uncond"), 6).alias("relative"))
-    return j.join(r, ["prompt_id", "author", "judge"]).dropna().select("k", "relative")
+    j = judgments(spark, sf_dir).where("named_self = 1").select("k", "item")
+    r = ratings(spark, sf_dir).select("item", F.round(F.col("lp_cond") - F.col("lp_uncond"), 6).alias("relative"))
+    return j.join(r, "item").dropna().select("k", "relative")
 
 
-@query(CTE + "select a.k as k, a.guess as lineup, b.guess as single from judg a join judg b on a.prompt_id = b.prompt_id and a.author = b.author and a.judge = b.judge where a.cond = 'lineup' and b.cond = 'single'")
+@query(CTE + "select a.k as k, a.guess as lineup, b.guess as single from judg a join judg b using (item) where a.cond = 'lineup' and b.cond = 'single'")
 def jon05_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join that fails where its key repeats on either side."""
-    j, key = judgments(spark, sf_dir), ["prompt_id", "author", "judge"]
+    j, key = judgments(spark, sf_dir), ["item"]
     a = j.where("cond = 'lineup'").select(*key, "k", F.col("guess").alias("lineup"))
     b = j.where("cond = 'single'").select(*key, F.col("guess").alias("single"))
     return one_to_one(a, b, key).select("k", "lineup", "single")
@@ -273,10 +273,10 @@ def jon08_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(b, "prompt_id").select("doc_id", "candidate", (F.col("m") - F.col("n")).alias("longer"))
 
 
-@query(CTE + "select cond, a.judge as a, b.judge as b, count(*) as texts, sum(a.correct)::bigint as a_right, sum(b.correct)::bigint as b_right from judg a join judg b using (cond, prompt_id, author) where a.judge < b.judge and a.author <> a.judge and a.author <> b.judge group by 1, 2, 3")
+@query(CTE + "select cond, a.judge as a, b.judge as b, count(*) as texts, sum(a.correct)::bigint as a_right, sum(b.correct)::bigint as b_right from judg a join judg b using (cond, block, author) where a.judge < b.judge and a.author <> a.judge and a.author <> b.judge group by 1, 2, 3")
 def jon11_judge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of judges over the texts of third parties: five judges a text, paired inside one row."""
-    j = judgments(spark, sf_dir).groupBy("cond", "prompt_id", "author").agg(F.array_sort(F.collect_list(F.struct("judge", "correct"))).alias("js"))
+    j = judgments(spark, sf_dir).groupBy("cond", "block", "author").agg(F.array_sort(F.collect_list(F.struct("judge", "correct"))).alias("js"))
     a = j.select("*", F.posexplode("js").alias("i", "a")).select("*", F.explode(F.slice("js", F.col("i") + 2, F.lit(5))).alias("b"))
     a = a.where((F.col("author") != F.col("a.judge")) & (F.col("author") != F.col("b.judge")))
     return a.groupBy("cond", F.col("a.judge").alias("a"), F.col("b.judge").alias("b")).agg(F.count(F.lit(1)).alias("texts"), F.sum("a.correct").alias("a_right"), F.sum("b.correct").alias("b_right"))
@@ -308,11 +308,12 @@ def jon14_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sets
 
 
-@query(CTE + "select 'judgments' as source, cond, count(*) as n from judg group by cond union all select 'ratings', 'binary', count(*) from rate")
+@query(CTE + "select 'judgments' as source, cond, count(*) as n from judg group by cond union all select 'ratings', 'binary', count(*) from yesno union all select 'ratings', 'quality', count(*) from qual")
 def set01_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = judgments(spark, sf_dir).select(F.lit("judgments").alias("source"), "cond")
-    b = ratings(spark, sf_dir).select(F.lit("ratings").alias("source"), F.lit("binary").alias("cond"))
-    return a.unionByName(b).groupBy("source", "cond").agg(F.count(F.lit(1)).alias("n"))
+    b = yes_no(spark, sf_dir).select(F.lit("ratings").alias("source"), F.lit("binary").alias("cond"))
+    c = quality(spark, sf_dir).select(F.lit("ratings").alias("source"), F.lit("quality").alias("cond"))
+    return a.unionByName(b).unionByName(c).groupBy("source", "cond").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select prompt_id, model, response_no from (select *, row_number() over (partition by prompt_id, model order by response_no desc) rn from responses) where rn = 1")

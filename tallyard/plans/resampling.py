@@ -14,10 +14,10 @@ from pyspark.sql import Window as W
 from tallyard.durable import ship
 from tallyard.functions import exact
 from tallyard.functions.draws import chunks, draws
-from tallyard.operators.ordering import mid_ranks
+from tallyard.operators.ordering import mid_ranks, numbered
 from tallyard.plans.registry import registry
 from tallyard.plans.windows import with_holm
-from tallyard.sources.fixtures import CTE, MODELS, full, judgments, ratings, responses
+from tallyard.sources.fixtures import CTE, full, quality, responses, yes_no
 
 QUERIES, SQL, query = registry()
 #: As many as the reference draws: analyze_panel.py:51-53 (permutations, bootstraps of ratios and of the best peer as in
@@ -81,21 +81,16 @@ def simulated(x: DataFrame, by: list[str], seed: str, n: int, slack: float = 0.0
     return counted.groupBy(*by).agg(F.max("seen").alias("seen"), F.max("n1").alias("n1"), (F.sum("total") / n).alias("null_mean"), r6((F.sum("more") + 1) / (n + 1)).alias("p_value"))
 
 
-def five(c: Column) -> Column:
-    """Five places; those an incomplete prompt lacks count nothing."""
-    return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.coalesce(F.get(c, i), F.lit(0)))
-
-
 def _within(j: DataFrame, target: str, other: str, hit: str, seed: str) -> DataFrame:
-    """One draw picks, in every prompt, which of the five stands in the target's own place."""
-    cells = j.groupBy("cond", F.col(target).alias("target"), "prompt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(other, hit))), lambda x: x[hit]).alias("hits"), F.sum(F.col("is_self") * F.col(hit)).alias("own"))
-    x = cells.select("cond", "target", F.concat_ws("|", "target", "prompt_id").alias("key"), five(F.col("hits")).alias("table"), "own")
+    """One draw picks, in every block that has the target's own place, which of its cells stands there."""
+    cells = j.groupBy("cond", F.col(target).alias("target"), "block").agg(F.transform(F.array_sort(F.collect_list(F.struct(other, hit))), lambda x: x[hit]).alias("table"), F.sum(F.col("is_self") * F.col(hit)).alias("own"), F.max("is_self").alias("there"))
+    x = cells.where("there = 1").select("cond", "target", F.concat_ws("|", "target", "block").alias("key"), "table", "own")
     return simulated(x, ["cond", "target"], seed, WITHIN).select("cond", "target", F.col("seen").cast("bigint").alias("seen"), "p_value")
 
 
 def _sql_within(target: str, other: str, hit: str, seed: str) -> str:
-    u_ = _U.format(f"'{seed}|' || d || '|' || target || '|' || prompt_id")
-    return CTE + f", c as (select cond, {target} as target, prompt_id, list({hit} order by {other}) as hits, sum(is_self * {hit}) as own from jfull group by 1, 2, 3), s as (select cond, target, d, sum(hits[{u_} % 5 + 1]) as sim, sum(own) as seen from c, {_d(WITHIN)} group by 1, 2, 3) select cond, target, max(seen)::bigint as seen, round((sum((sim >= seen)::int) + 1) / (count(*) + 1), 6) as p_value from s group by 1, 2"
+    u_ = _U.format(f"'{seed}|' || d || '|' || target || '|' || block")
+    return CTE + f", c as (select cond, {target} as target, block, list({hit} order by {other}) as hits, sum(is_self * {hit}) as own from jfull group by 1, 2, 3 having max(is_self) = 1), s as (select cond, target, d, sum(hits[{u_} % len(hits) + 1]) as sim, sum(own) as seen from c, {_d(WITHIN)} group by 1, 2, 3) select cond, target, max(seen)::bigint as seen, round((sum((sim >= seen)::int) + 1) / (count(*) + 1), 6) as p_value from s group by 1, 2"
 
 
 @query(_sql_within("author", "judge_idx", "correct", "adv"))
@@ -108,35 +103,37 @@ def sta18_discrimination_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _within(full(spark, sf_dir), "judge", "author_idx", "named_self", "disc")
 
 
-@query(CTE + ", rk as (select *, rank() over (partition by judge order by p_yes) + (count(*) over (partition by judge, p_yes) - 1) / 2 as mid from rate), c as (select judge, prompt_id, list(mid order by author_idx) as mids, max(mid) filter (author = judge) as own from rk group by 1, 2), s as (select judge, d, sum(mids[" + _U.format("'auc|' || d || '|' || judge || '|' || prompt_id") + f" % 5 + 1]) as sim, sum(own) as seen, count(*) as n1 from c, {_d(AUC)} group by 1, 2) select judge, round(max((seen - n1 * (n1 + 1) / 2) / (n1 * 4 * n1)), 6) as auc, round((sum((sim >= seen)::int) + 1) / (count(*) + 1), 6) as p_value from s group by judge")
+@query(CTE + ", rk as (select *, rank() over (partition by judge order by p_yes) + (count(*) over (partition by judge, p_yes) - 1) / 2 as mid from yesno), t as (select judge, count(*) as n from yesno group by 1), c as (select judge, block, list(mid order by author_idx) as mids, max(mid) filter (author = judge) as own from rk group by 1, 2 having max((author = judge)::int) = 1), s as (select judge, d, sum(mids[" + _U.format("'auc|' || d || '|' || judge || '|' || block") + f" % len(mids) + 1]) as sim, sum(own) as seen, count(*) as n1 from c, {_d(AUC)} group by 1, 2) select judge, round(max((seen - n1 * (n1 + 1) / 2) / (n1 * (n - n1))), 6) as auc, round((sum((sim >= seen)::int) + 1) / (count(*) + 1), 6) as p_value from s join t using (judge) group by judge")
 def sta20_auc_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of p_yes against within-prompt permutation; ranks are computed once and stay fixed."""
-    r = ratings(spark, sf_dir)
+    r = yes_no(spark, sf_dir)
+    sizes = r.groupBy("judge").agg(F.count(F.lit(1)).alias("n"))
     r = r.join(mid_ranks(r, "p_yes", ["judge"]).select("judge", "p_yes", "mid"), ["judge", "p_yes"])
-    c = r.groupBy("judge", "prompt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", "mid"))), lambda x: x["mid"]).alias("mids"), F.max(F.when(F.col("author") == F.col("judge"), F.col("mid"))).alias("own"))
-    x = c.select("judge", F.concat_ws("|", "judge", "prompt_id").alias("key"), five(F.col("mids")).alias("table"), F.coalesce("own", F.lit(0)).alias("own"))
-    n1 = F.col("n1")
-    return simulated(x, ["judge"], "auc", AUC).select("judge", r6((F.col("seen") - n1 * (n1 + 1) / 2) / (n1 * 4 * n1)).alias("auc"), "p_value")
+    c = r.groupBy("judge", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("author_idx", "mid"))), lambda x: x["mid"]).alias("table"), F.max(F.when(F.col("author") == F.col("judge"), F.col("mid"))).alias("own"))
+    x = c.where("own is not null").select("judge", F.concat_ws("|", "judge", "block").alias("key"), "table", "own")
+    n1, n = F.col("n1"), F.col("n")
+    s = simulated(x, ["judge"], "auc", AUC).join(F.broadcast(sizes), "judge")  # a row per judge of the panel
+    return s.select("judge", r6((F.col("seen") - n1 * (n1 + 1) / 2) / (n1 * (n - n1))).alias("auc"), "p_value")
 
 
 def weighed(x: DataFrame, spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """(d, sums): the columns of ``x`` (prompt_no, v array<double>, all as long) summed over the prompts of each of ``n`` draws.
+    """(d, sums): the columns of ``x`` (prompt_id, v array<double>, all as long) summed over the prompts of each of ``n`` draws.
 
     A row of the shuffle is a prompt and the draws in which a block of positions takes it; weights are never written out by draw.
     """
     ship(spark)
-    p = responses(spark, sf_dir).select("prompt_no").distinct()
+    p = numbered(responses(spark, sf_dir).select("prompt_id").distinct(), ["prompt_id"], "place").select("prompt_id", (F.col("place") - 1).alias("place"))
     prompts = p.count()
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), POSITIONS):
-                block = pdf["prompt_no"].iloc[at : at + POSITIONS]
+                block = pdf["place"].iloc[at : at + POSITIONS]
                 taken = np.stack([draws("boot", str(k), n) for k in block]).astype("int64") % prompts
                 order = np.argsort(taken, axis=None, kind="stable")
                 flat = taken.ravel()[order]
                 starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-                yield pd.DataFrame({"prompt_no": flat[starts], "ds": np.split((order % n).astype("int32"), starts[1:])})
+                yield pd.DataFrame({"place": flat[starts], "ds": np.split((order % n).astype("int32"), starts[1:])})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = None
@@ -151,9 +148,9 @@ def weighed(x: DataFrame, spark: SparkSession, sf_dir: str, n: int) -> DataFrame
         if sums is not None:
             yield pd.DataFrame({"d": np.arange(n), "v": list(sums)})
 
-    taken = _busy(p, "prompt_no").mapInPandas(take, "prompt_no bigint, ds array<int>")
-    x = x.select("prompt_no", "v").hint("shuffle_hash")
-    parts = taken.join(x, "prompt_no").select("ds", "v").mapInPandas(add, "d int, v array<double>")
+    taken = _busy(p.select("place"), "place").mapInPandas(take, "place bigint, ds array<int>")
+    x = x.join(p, "prompt_id").select("place", "v").hint("shuffle_hash")
+    parts = taken.join(x, "place").select("ds", "v").mapInPandas(add, "d int, v array<double>")
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -167,7 +164,7 @@ def weighed(x: DataFrame, spark: SparkSession, sf_dir: str, n: int) -> DataFrame
 
 
 def weighed_by(x: DataFrame, by: list[str], names: list[str], spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """``weighed`` for columns ``names`` of (``by``, prompt_no), back as one row per group and draw."""
+    """``weighed`` for columns ``names`` of (``by``, prompt_id), back as one row per group and draw."""
     groups = sorted(tuple(r) for r in x.select(*by).distinct().collect())  # formats, authors and judges: at most some dozens
     wide = []
     for g in groups:
@@ -175,7 +172,7 @@ def weighed_by(x: DataFrame, by: list[str], names: list[str], spark: SparkSessio
         for b, v in zip(by, g):
             here = here & (F.col(b) == v)
         wide += [F.coalesce(F.sum(F.when(here, F.col(c))), F.lit(0)).cast("double") for c in names]
-    w = weighed(x.groupBy("prompt_no").agg(F.array(*wide).alias("v")), spark, sf_dir, n)
+    w = weighed(x.groupBy("prompt_id").agg(F.array(*wide).alias("v")), spark, sf_dir, n)
     k = len(names)
     rows = [F.struct(*[F.lit(v).alias(b) for b, v in zip(by, g)], *[F.get(F.col("v"), F.lit(i * k + m)).alias(c) for m, c in enumerate(names)]) for i, g in enumerate(groups)]
     return w.select("d", F.inline(F.array(*rows)))
@@ -184,9 +181,9 @@ def weighed_by(x: DataFrame, by: list[str], names: list[str], spark: SparkSessio
 def per_prompt(j: DataFrame) -> DataFrame:
     """Per format, judge and prompt: own hits and texts, false alarms and others' texts, own texts' peers' hits, hits on others' texts."""
     s, n = F.col("is_self"), F.col("named_self")
-    own = j.groupBy("cond", "judge", "prompt_no").agg(F.sum(s * n).alias("h"), F.sum(s).alias("hn"), F.sum((1 - s) * n).alias("f"), F.sum(1 - s).alias("fn"), F.sum((1 - s) * F.col("correct")).alias("o"))
-    peer = j.groupBy("cond", F.col("author").alias("judge"), "prompt_no").agg(F.sum((1 - s) * F.col("correct")).alias("p"), F.sum(1 - s).alias("pn"))
-    return own.join(peer, ["cond", "judge", "prompt_no"])
+    own = j.groupBy("cond", "judge", "prompt_id").agg(F.sum(s * n).alias("h"), F.sum(s).alias("hn"), F.sum((1 - s) * n).alias("f"), F.sum(1 - s).alias("fn"), F.sum((1 - s) * F.col("correct")).alias("o"))
+    peer = j.groupBy("cond", F.col("author").alias("judge"), "prompt_id").agg(F.sum((1 - s) * F.col("correct")).alias("p"), F.sum(1 - s).alias("pn"))
+    return own.join(peer, ["cond", "judge", "prompt_id"], "full").na.fill(0)
 
 
 def boot(spark: SparkSession, sf_dir: str, n: int = BOOT) -> DataFrame:
@@ -197,7 +194,7 @@ def boot(spark: SparkSession, sf_dir: str, n: int = BOOT) -> DataFrame:
 
 
 def _boot(n: int = BOOT) -> str:
-    return CTE + f", np as (select count(distinct prompt_no) as n from resp), w as (select d, {_U.format("'boot|' || d || '|' || prompt_no")} % (select n from np) as prompt_no, count(*) as w from (select distinct prompt_no from resp) p, {_d(n)} group by 1, 2), o as (select cond, judge, prompt_no, sum(is_self * named_self) h, sum(is_self) hn, sum((1 - is_self) * named_self) f, sum(1 - is_self) fn from jfull group by 1, 2, 3), q as (select cond, author as judge, prompt_no, sum((1 - is_self) * correct) p, sum(1 - is_self) pn from jfull group by 1, 2, 3), boot as (select cond, judge, d, sum(h * w) / sum(hn * w) as hit, sum(f * w) / sum(fn * w) as fa, sum(p * w) / sum(pn * w) as peer, sum(hn * w) as n from o join q using (cond, judge, prompt_no) join w using (prompt_no) group by 1, 2, 3)"
+    return CTE + f", pn as materialized (select prompt_id, row_number() over (order by prompt_id) - 1 as place from (select distinct prompt_id from resp)), w as (select d, {_U.format("'boot|' || d || '|' || place")} % (select count(*) from pn) as place, count(*) as w from pn, {_d(n)} group by 1, 2), o as (select cond, judge, prompt_id, sum(is_self * named_self) h, sum(is_self) hn, sum((1 - is_self) * named_self) f, sum(1 - is_self) fn from jfull group by 1, 2, 3), q as (select cond, author as judge, prompt_id, sum((1 - is_self) * correct) p, sum(1 - is_self) pn from jfull group by 1, 2, 3), oq as (select cond, judge, prompt_id, coalesce(h, 0) h, coalesce(hn, 0) hn, coalesce(f, 0) f, coalesce(fn, 0) fn, coalesce(p, 0) p, coalesce(q.pn, 0) pn from o full join q using (cond, judge, prompt_id)), boot as (select cond, judge, d, sum(h * w) / nullif(sum(hn * w), 0) as hit, sum(f * w) / nullif(sum(fn * w), 0) as fa, sum(p * w) / nullif(sum(oq.pn * w), 0) as peer, sum(hn * w) as n from oq join pn using (prompt_id) join w using (place) group by 1, 2, 3)"
 
 
 
@@ -228,22 +225,21 @@ def sta32_design_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boot(spark, sf_dir).groupBy("cond", "judge").agg(r6(F.try_divide(F.var_pop("hit"), m * (1 - m) / F.avg("n"))).alias("design_effect"))
 
 
-_PERMS = [list(p) for p in permutations(range(4))]
-
-
 @query()
 def sta25_shuffle_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits on others' texts against all relabellings of a prompt's four guesses, exactly.
+    """Hits on others' texts against all relabellings of a block's guesses (four at most), exactly.
 
-    A prompt gives the distribution of its hits over 24 orders; prompts with the same
+    A block gives the distribution of its hits over all orders; blocks with the same
     distribution are counted, and the counted distributions convolved.
     """
     ship(spark)
     j = full(spark, sf_dir).where("is_self = 0")
-    p = j.groupBy("cond", "judge", "prompt_id").agg(F.array_sort(F.collect_list(F.struct("author_idx", "author", "guess"))).alias("x"), F.sum("correct").alias("seen")).where(F.size("x") == 4)
-    orders = F.array(*[F.array(*map(F.lit, o)) for o in _PERMS])
-    hits = F.transform(orders, lambda o: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0), lambda a, i: a + (F.get(F.col("x"), i)["author"] == F.get(F.col("x"), F.get(o, i))["guess"]).cast("int")))
-    pmf = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.size(F.filter("hits", lambda h: h == k)))
+    p = j.groupBy("cond", "judge", "block").agg(F.array_sort(F.collect_list(F.struct("author_idx", "author", "guess"))).alias("x"), F.sum("correct").alias("seen"))
+    orders = F.lit(None).cast("array<array<int>>")
+    for m in range(1, 5):
+        orders = F.when(F.size("x") == m, F.array(*[F.array(*map(F.lit, o)) for o in permutations(range(m))])).otherwise(orders)
+    hits = F.transform(orders, lambda o: F.aggregate(F.sequence(F.lit(0), F.size(o) - 1), F.lit(0), lambda a, i: a + (F.get(F.col("x"), i)["author"] == F.get(F.col("x"), F.get(o, i))["guess"]).cast("int")))
+    pmf = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.size(F.filter("hits", lambda h: h == k)) / F.size("hits"))
     g = p.withColumn("hits", hits).withColumn("pmf", pmf).groupBy("cond", "judge", "pmf").agg(F.count(F.lit(1)).alias("times"), F.sum("seen").alias("seen"))
 
     def floor(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -251,7 +247,7 @@ def sta25_shuffle_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
         size = 1 << (n - 1).bit_length()
         f = np.ones(size, dtype=complex)
         for pmf_, t in zip(pdf["pmf"], pdf["times"]):
-            f *= np.power(np.fft.fft(np.asarray(pmf_, dtype="float64") / 24, size), int(t))
+            f *= np.power(np.fft.fft(np.asarray(pmf_, dtype="float64"), size), int(t))
         dist = np.clip(np.fft.ifft(f).real[:n], 0, None)
         seen = int(pdf["seen"].sum())
         return pd.DataFrame({"cond": [pdf["cond"].iloc[0]], "judge": [pdf["judge"].iloc[0]], "seen": [seen], "floor": [round(float((dist * np.arange(n)).sum()), 6)], "p_value": [round(float(min(1.0, dist[seen:].sum())), 8)]})
@@ -270,10 +266,10 @@ def _sql_flip(x: str, by: str, seed: str, n: int) -> str:
     return f"{x}, s as (select {by}, d, sum((1 - 2 * ({_U.format(f"'{seed}|' || d || '|' || prompt_id")} % 2)) * delta) as sim, sum(delta) as sum_ from x, {_d(n)} group by {by}, d) select {by}, max(sum_)::bigint as sum, round((sum((abs(sim) >= abs(sum_))::int) + 1) / ({n} + 1), 6) as p_value from s group by {by}"
 
 
-@query(_sql_flip(CTE + ", x as (select a.cond as cond, a.judge as a, b.judge as b, a.prompt_id as prompt_id, sum(a.correct - b.correct) as delta from jfull a join jfull b on a.cond = b.cond and a.prompt_id = b.prompt_id and a.author = b.author where a.judge < b.judge and a.author <> a.judge and a.author <> b.judge group by 1, 2, 3, 4)", "cond, a, b", "flip", FLIPS))
+@query(_sql_flip(CTE + ", x as (select a.cond as cond, a.judge as a, b.judge as b, a.prompt_id as prompt_id, sum(a.correct - b.correct) as delta from jfull a join jfull b on a.cond = b.cond and a.block = b.block and a.author = b.author where a.judge < b.judge and a.author <> a.judge and a.author <> b.judge group by 1, 2, 3, 4)", "cond, a, b", "flip", FLIPS))
 def sta26_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of judges on third parties' texts: pairs are made inside each text's row of five."""
-    j = full(spark, sf_dir).groupBy("cond", "prompt_id", "author").agg(F.array_sort(F.collect_list(F.struct("judge", "correct"))).alias("js"))
+    j = full(spark, sf_dir).groupBy("cond", "prompt_id", "block", "author").agg(F.array_sort(F.collect_list(F.struct("judge", "correct"))).alias("js"))
     a = j.select("*", F.posexplode("js").alias("i", "x")).select("*", F.explode(F.slice("js", F.col("i") + 2, F.lit(5))).alias("y"))
     a = a.where((F.col("author") != F.col("x.judge")) & (F.col("author") != F.col("y.judge")))
     x = a.groupBy("cond", F.col("x.judge").alias("a"), F.col("y.judge").alias("b"), "prompt_id").agg(F.sum(F.col("x.correct") - F.col("y.correct")).alias("delta"))
@@ -303,42 +299,42 @@ def sta27_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full(spark, sf_dir).where("is_self = 0").groupBy("cond").agg(r6(F.avg(F.when(g, F.col("correct"))) - F.avg(F.when(~g, F.col("correct")))).alias("contrast"))
 
 
-@query(_sql_flip(CTE + ", x as (select a.cond as cond, a.judge as judge, p.judge as peer, a.prompt_id as prompt_id, sum((a.guess = a.judge)::int - (p.guess = a.judge)::int) as delta from jfull a join jfull p on a.cond = p.cond and a.prompt_id = p.prompt_id and a.author = p.author and p.judge <> a.judge where a.author = a.judge or a.author <> p.judge group by 1, 2, 3, 4)", "cond, judge, peer", "like", LIKE_FLIPS))
+@query(_sql_flip(CTE + ", x as (select a.cond as cond, a.judge as judge, p.judge as peer, a.prompt_id as prompt_id, sum((a.guess = a.judge)::int - (p.guess = a.judge)::int) as delta from jfull a join jfull p on a.cond = p.cond and a.block = p.block and a.author = p.author and p.judge <> a.judge where a.author = a.judge or a.author <> p.judge group by 1, 2, 3, 4)", "cond, judge, peer", "like", LIKE_FLIPS))
 def sta29_like_for_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A judge's namings of itself against each peer's namings of it, on the same texts without the peer's own."""
-    j = full(spark, sf_dir).groupBy("cond", "prompt_id", "author").agg(F.collect_list(F.struct("judge", "guess")).alias("js"))
+    j = full(spark, sf_dir).groupBy("cond", "prompt_id", "block", "author").agg(F.collect_list(F.struct("judge", "guess")).alias("js"))
     a = j.select("*", F.explode("js").alias("x")).select("*", F.explode("js").alias("y")).where((F.col("x.judge") != F.col("y.judge")) & ((F.col("author") == F.col("x.judge")) | (F.col("author") != F.col("y.judge"))))
     mine = (F.col("x.guess") == F.col("x.judge")).cast("int") - (F.col("y.guess") == F.col("x.judge")).cast("int")
     x = a.groupBy("cond", F.col("x.judge").alias("judge"), F.col("y.judge").alias("peer"), "prompt_id").agg(F.sum(mine).alias("delta"))
     return _flip(x, ["cond", "judge", "peer"], "like", LIKE_FLIPS)
 
 
-@query(_boot(RATIO_BOOT) + ", c as (select cond, author, judge, d, sum(correct * w) / sum(w) as r from jfull join w using (prompt_no) group by 1, 2, 3, 4), m as (select cond, author, d, max(r) filter (judge = author) - max(r) filter (judge <> author) as gap from c group by 1, 2, 3) select cond, author, round(quantile_cont(gap, 0.025), 9) as low, round(quantile_cont(gap, 0.5), 9) as median, round(quantile_cont(gap, 0.975), 9) as high from m group by 1, 2")
+@query(_boot(RATIO_BOOT) + ", c as (select cond, author, judge, d, sum(correct * w) / sum(w) as r from jfull join pn using (prompt_id) join w using (place) group by 1, 2, 3, 4), m as (select cond, author, d, max(r) filter (judge = author) - max(r) filter (judge <> author) as gap from c group by 1, 2, 3) select cond, author, round(quantile_cont(gap, 0.025), 9) as low, round(quantile_cont(gap, 0.5), 9) as median, round(quantile_cont(gap, 0.975), 9) as high from m group by 1, 2")
 def sta30_best_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own rate less the best peer's of the same draw."""
-    x = full(spark, sf_dir).groupBy("cond", "author", "judge", "prompt_no").agg(F.sum("correct").alias("k"), F.count("correct").alias("n"))
+    x = full(spark, sf_dir).groupBy("cond", "author", "judge", "prompt_id").agg(F.sum("correct").alias("k"), F.count("correct").alias("n"))
     c = weighed_by(x, ["cond", "author", "judge"], ["k", "n"], spark, sf_dir, RATIO_BOOT).withColumn("r", F.try_divide("k", "n"))
     own = F.col("author") == F.col("judge")
     m = c.groupBy("cond", "author", "d").agg((F.max(F.when(own, F.col("r"))) - F.max(F.when(~own, F.col("r")))).alias("gap"))
     return m.groupBy("cond", "author").agg(*[F.round(F.percentile("gap", q), 9).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))])
 
 
-@query(CTE + ", c as (select r.judge, r.prompt_id, list(r.quality order by r.author_idx) as qs, list(j.named_self order by r.author_idx) as ns from rate r join jfull j on j.prompt_id = r.prompt_id and j.author = r.author and j.judge = r.judge and j.cond = 'lineup' group by 1, 2), s as (select judge, d, sum(list_sum(list_transform(range(0, 5), lambda i: ns[i + 1] * qs[(i + " + _U.format("'fam|' || d || '|' || judge || '|' || prompt_id") + f") % 5 + 1]))) as sim, sum(list_sum(list_transform(range(0, 5), lambda i: ns[i + 1] * qs[i + 1]))) as seen from c, {_d(WITHIN)} group by 1, 2) select judge, round(max(seen), 4) as seen, round((sum((sim >= seen - 1e-9)::int) + 1) / (count(*) + 1), 6) as p_value from s group by judge")
+@query(CTE + ", c as (select r.judge, r.prompt_id, list(r.quality order by r.author_idx) as qs, list(j.named_self order by r.author_idx) as ns from qual r join jfull j on j.item = r.item and j.cond = 'lineup' group by 1, 2), s as (select judge, d, sum(list_sum(list_transform(range(0, len(qs)), lambda i: ns[i + 1] * qs[(i + " + _U.format("'fam|' || d || '|' || judge || '|' || prompt_id") + f") % len(qs) + 1]))) as sim, sum(list_sum(list_transform(range(0, len(qs)), lambda i: ns[i + 1] * qs[i + 1]))) as seen from c, {_d(WITHIN)} group by 1, 2) select judge, round(max(seen), 4) as seen, round((sum((sim >= seen - 1e-9)::int) + 1) / (count(*) + 1), 6) as p_value from s group by judge")
 def sta39_claim_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Do judges claim the texts they rate highest? Ratings are rotated within prompts."""
-    j = full(spark, sf_dir).where("cond = 'lineup'").select("prompt_id", "author", "judge", "named_self")
-    x = ratings(spark, sf_dir).join(j, ["prompt_id", "author", "judge"]).groupBy("judge", "prompt_id").agg(F.array_sort(F.collect_list(F.struct("author_idx", "quality", "named_self"))).alias("x"))
-    places = F.sequence(F.lit(0), F.lit(4))
-    score = lambda shift: F.aggregate(places, F.lit(0.0), lambda a, i: a + F.get(F.col("x"), i)["named_self"] * F.get(F.col("x"), ((i + shift) % 5).cast("int"))["quality"])
+    j = full(spark, sf_dir).where("cond = 'lineup'").select("item", "named_self")
+    x = quality(spark, sf_dir).join(j, "item").groupBy("judge", "prompt_id").agg(F.array_sort(F.collect_list(F.struct("author_idx", "quality", "named_self"))).alias("x"))
+    places = F.sequence(F.lit(0), F.size("x") - 1)
+    score = lambda shift: F.aggregate(places, F.lit(0.0), lambda a, i: a + F.get(F.col("x"), i)["named_self"] * F.get(F.col("x"), ((i + shift) % F.size("x")).cast("int"))["quality"])
     s = x.select("judge", F.concat_ws("|", "judge", "prompt_id").alias("key"), F.transform(places, score).alias("table"), score(F.lit(0)).alias("own"))
     return simulated(s, ["judge"], "fam", WITHIN, slack=1e-9).select("judge", F.round("seen", 4).alias("seen"), "p_value")
 
 
-@query(CTE + ", c as (select judge, author, list(guess order by prompt_id) as g, count(*) as n from jfull where cond = 'lineup' group by 1, 2), m as (select judge, prompt_no, list(guess order by author_idx) as gs, list(author order by author_idx) as au from jfull where cond = 'lineup' group by 1, 2), s as (select judge, d, sum(list_sum(list_transform(range(0, 5), lambda i: (gs[(i + " + _U.format("'nref|' || d || '|' || judge || '|' || prompt_no") + f") % 5 + 1] = au[i + 1])::int))) as sim, sum(list_sum(list_transform(range(0, 5), lambda i: (gs[i + 1] = au[i + 1])::int))) as seen from m, {_d(REFERENCES)} group by 1, 2) select judge, max(seen)::bigint as seen, round(avg(sim), 6) as null_mean, round((sum((sim >= seen)::int) + 1) / (count(*) + 1), 6) as p_value from s group by judge")
+@query(CTE + ", m as (select judge, prompt_id, list(guess order by author_idx) as gs, list(author order by author_idx) as au from jfull where cond = 'lineup' group by 1, 2), s as (select judge, d, sum(list_sum(list_transform(range(0, len(gs)), lambda i: (gs[(i + " + _U.format("'nref|' || d || '|' || judge || '|' || prompt_id") + f") % len(gs) + 1] = au[i + 1])::int))) as sim, sum(list_sum(list_transform(range(0, len(gs)), lambda i: (gs[i + 1] = au[i + 1])::int))) as seen from m, {_d(REFERENCES)} group by 1, 2) select judge, max(seen)::bigint as seen, round(avg(sim), 6) as null_mean, round((sum((sim >= seen)::int) + 1) / (count(*) + 1), 6) as p_value from s group by judge")
 def sta40_reference_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits when a prompt's guesses are rotated against its references."""
-    m = full(spark, sf_dir).where("cond = 'lineup'").groupBy("judge", "prompt_no").agg(F.array_sort(F.collect_list(F.struct("author_idx", "author", "guess"))).alias("x"))
-    places = F.sequence(F.lit(0), F.lit(4))
-    hits = lambda shift: F.aggregate(places, F.lit(0), lambda a, i: a + (F.get(F.col("x"), ((i + shift) % 5).cast("int"))["guess"] == F.get(F.col("x"), i)["author"]).cast("int"))
-    s = m.select("judge", F.concat_ws("|", "judge", F.col("prompt_no").cast("string")).alias("key"), F.transform(places, hits).alias("table"), hits(F.lit(0)).alias("own"))
+    m = full(spark, sf_dir).where("cond = 'lineup'").groupBy("judge", "prompt_id").agg(F.array_sort(F.collect_list(F.struct("author_idx", "author", "guess"))).alias("x"))
+    places = F.sequence(F.lit(0), F.size("x") - 1)
+    hits = lambda shift: F.aggregate(places, F.lit(0), lambda a, i: a + (F.get(F.col("x"), ((i + shift) % F.size("x")).cast("int"))["guess"] == F.get(F.col("x"), i)["author"]).cast("int"))
+    s = m.select("judge", F.concat_ws("|", "judge", "prompt_id").alias("key"), F.transform(places, hits).alias("table"), hits(F.lit(0)).alias("own"))
     return simulated(s, ["judge"], "nref", REFERENCES).select("judge", F.col("seen").cast("bigint").alias("seen"), r6("null_mean").alias("null_mean"), "p_value")

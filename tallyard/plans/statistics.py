@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyard.durable import ship
+from tallyard.durable import materialise, ship
 from tallyard.functions import exact, kernels
 from tallyard.operators.gee import gee
 from tallyard.operators.ordering import mid_ranks
-from tallyard.plans.aggregates import _BLAME, _CUED, CUES, blame, cued
+from tallyard.plans.aggregates import _BLAME, _CUED, CUES, blame, correlation, cued
 from tallyard.plans.registry import registry
 from tallyard.plans.windows import with_holm
-from tallyard.sources.fixtures import CTE, MODELS, full, judgments, ratings
+from tallyard.sources.fixtures import CTE, MODELS, full, judgments, quality, ratings, yes_no
 from tallyard.sources.tables import table
 
 QUERIES, SQL, query = registry()
@@ -109,32 +109,32 @@ def rank_sums(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame
     return v.join(m.select(*by, value, "mid"), [*by, value]).groupBy(*by).agg(F.sum("g1").alias("n1"), F.sum("t").alias("n"), F.sum(F.col("mid") * F.col("g1")).alias("r1"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
 
 
-_RANKED = CTE + ", x as (select judge, p_yes as v, (author = judge)::int as g from rate), rk as (select *, rank() over (partition by judge order by v) + (count(*) over (partition by judge, v) - 1) / 2 as mid, count(*) over (partition by judge, v) as t from x), rs as (select judge, sum(g)::bigint as n1, count(*) as n, sum(mid * g) as r1, sum(t * t - 1) as ties from rk group by judge)"
+_RANKED = CTE + ", x as (select judge, p_yes as v, (author = judge)::int as g from yesno), rk as (select *, rank() over (partition by judge order by v) + (count(*) over (partition by judge, v) - 1) / 2 as mid, count(*) over (partition by judge, v) as t from x), rs as (select judge, sum(g)::bigint as n1, count(*) as n, sum(mid * g) as r1, sum(t * t - 1) as ties from rk group by judge)"
 
 
 @query(_RANKED + " select judge, round(r1 - n1 * (n1 + 1) / 2, 6) as u, round((r1 - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))), 6) as z from rs")
 def sta08_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U of own texts' p_yes, with its z corrected for ties."""
-    x = ratings(spark, sf_dir).select("judge", F.col("p_yes").alias("v"), (F.col("author") == F.col("judge")).cast("int").alias("g"))
+    x = yes_no(spark, sf_dir).select("judge", F.col("p_yes").alias("v"), (F.col("author") == F.col("judge")).cast("int").alias("g"))
     n1, n, r1 = F.col("n1"), F.col("n"), F.col("r1")
     u = r1 - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * (n - n1) / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     return rank_sums(x, "v", "g", ["judge"]).select("judge", r6(u).alias("u"), r6((u - n1 * (n - n1) / 2) / sd).alias("z"))
 
 
-@query(CTE + ", a as (select judge, p_yes, quality, rank() over (partition by judge order by p_yes) + (count(*) over (partition by judge, p_yes) - 1) / 2 as x, rank() over (partition by judge order by quality) + (count(*) over (partition by judge, quality) - 1) / 2 as y from rate) select judge, round(corr(x, y), 6) as rho from a group by judge")
+@query(CTE + ", a as (select judge, p_yes, quality, rank() over (partition by judge order by p_yes) + (count(*) over (partition by judge, p_yes) - 1) / 2 as x, rank() over (partition by judge order by quality) + (count(*) over (partition by judge, quality) - 1) / 2 as y from qual where p_yes is not null) select judge, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) as rho from a group by judge")
 def sta09_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation, ranks taken from counts of distinct values."""
-    r = ratings(spark, sf_dir).select("judge", "p_yes", "quality")
+    r = ratings(spark, sf_dir).where("p_yes is not null and quality is not null").select("judge", "p_yes", "quality")
     x = mid_ranks(r, "p_yes", ["judge"]).select("judge", "p_yes", F.col("mid").alias("x"))
     y = mid_ranks(r, "quality", ["judge"]).select("judge", "quality", F.col("mid").alias("y"))
-    return r.join(x, ["judge", "p_yes"]).join(y, ["judge", "quality"]).groupBy("judge").agg(r6(F.corr("x", "y")).alias("rho"))
+    return r.join(x, ["judge", "p_yes"]).join(y, ["judge", "quality"]).groupBy("judge").agg(r6(correlation(F.col("x"), F.col("y"))).alias("rho"))
 
 
-@query(CTE + ", x as (select author, quality as v, rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2 as mid, count(*) over (partition by quality) as t, count(*) over () as n from rate), g as (select author, count(*) k, sum(mid) r, any_value(n) n from x group by author), h as (select (12 / (any_value(n) * (any_value(n) + 1)) * sum(r * r / k) - 3 * (any_value(n) + 1)) / (1 - (select sum(t * t - 1) from x) / (any_value(n) ^ 3 - any_value(n))) as h from g) select round(h, 5) as h, round(exp(-h / 2) * (1 + h / 2), 7) as p_value from h")
+@query(CTE + ", x as (select author, quality as v, rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2 as mid, count(*) over (partition by quality) as t, count(*) over () as n from qual), g as (select author, count(*) k, sum(mid) r, any_value(n) n from x group by author), h as (select (12 / (any_value(n) * (any_value(n) + 1)) * sum(r * r / k) - 3 * (any_value(n) + 1)) / (1 - (select sum(t * t - 1) from x) / (any_value(n) ^ 3 - any_value(n))) as h from g) select round(h, 5) as h, round(exp(-h / 2) * (1 + h / 2), 7) as p_value from h")
 def sta10_kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings by author, four degrees of freedom."""
-    r = ratings(spark, sf_dir).select("author", F.round("quality", 6).alias("v"))
+    r = quality(spark, sf_dir).select("author", F.round("quality", 6).alias("v"))
     m = mid_ranks(r, "v", []).select("v", "mid", "t")
     c = r.groupBy("author", "v").agg(F.count(F.lit(1)).alias("k")).join(m, "v")
     g = c.groupBy("author").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("mid")).alias("r"))
@@ -182,14 +182,17 @@ def sta14_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_long(j: DataFrame) -> DataFrame:
-    """Per judge as target and prompt, two designs: 'own' (its own judgments) and 'peers' (all judges of its text): times named, of how many, and whether in the own cell."""
-    own = j.groupBy("cond", F.lit("own").alias("design"), F.col("judge").alias("target"), "prompt_id").agg(F.sum("named_self").alias("t"), F.count(F.lit(1)).alias("k"), F.max(F.col("is_self") * F.col("named_self")).alias("own"))
+    """Per judge as target and block, two designs: 'own' (its own judgments) and 'peers' (all judges of its text): times named, of how many, and whether in the own cell.
+
+    A block without its own cell says nothing about it and is left out.
+    """
+    own = j.groupBy("cond", F.lit("own").alias("design"), F.col("judge").alias("target"), "block").agg(F.sum("named_self").alias("t"), F.count(F.lit(1)).alias("k"), F.max(F.col("is_self") * F.col("named_self")).alias("own"), F.max("is_self").alias("there"))
     hit = (F.col("guess") == F.col("author")).cast("int")
-    peers = j.groupBy("cond", F.lit("peers").alias("design"), F.col("author").alias("target"), "prompt_id").agg(F.sum(hit).alias("t"), F.count(F.lit(1)).alias("k"), F.max(F.col("is_self") * hit).alias("own"))
-    return own.unionByName(peers)
+    peers = j.groupBy("cond", F.lit("peers").alias("design"), F.col("author").alias("target"), "block").agg(F.sum(hit).alias("t"), F.count(F.lit(1)).alias("k"), F.max(F.col("is_self") * hit).alias("own"), F.max("is_self").alias("there"))
+    return own.unionByName(peers).where("there = 1").drop("there")
 
 
-_NAMED = CTE + ", nl as (select cond, 'own' as design, judge as target, prompt_id, sum(named_self)::bigint t, count(*) k, max(is_self * named_self) as own from jfull group by 1, 2, 3, 4 union all select cond, 'peers', author, prompt_id, sum(correct)::bigint, count(*), max(is_self * correct) from jfull group by 1, 2, 3, 4), hist as (select cond, design, target, sum(own)::bigint as s, list(t / k order by prompt_id) as q from nl group by 1, 2, 3)"
+_NAMED = CTE + ", nl as (select cond, 'own' as design, judge as target, block, sum(named_self)::bigint t, count(*) k, max(is_self * named_self) as own from jfull group by 1, 2, 3, 4 having max(is_self) = 1 union all select cond, 'peers', author, block, sum(correct)::bigint, count(*), max(is_self * correct) from jfull group by 1, 2, 3, 4 having max(is_self) = 1), hist as (select cond, design, target, sum(own)::bigint as s, list(t / k order by block) as q from nl group by 1, 2, 3)"
 _PB = _NAMED + ", pb(cond, design, target, s, q, i, a) as (select cond, design, target, s, q, 1, [1.0::double] from hist union all select cond, design, target, s, q, i + 1, list_transform(range(1, len(a) + 2), lambda x: coalesce(a[x], 0) * (1 - q[i]) + case when x > 1 then coalesce(a[x - 1], 0) * q[i] else 0 end) from pb where i <= len(q)), fin as (select cond, design, target, s, list_sum(q) as mean, a from pb where i = len(q) + 1)"
 
 
@@ -200,9 +203,9 @@ def exact_p(j: DataFrame) -> DataFrame:
     def tails(pdf: pd.DataFrame) -> pd.DataFrame:
         two, one = kernels.exact_tails(pdf["q"].to_numpy(), pdf["times"].to_numpy(), float(pdf["own"].sum()))
         first = pdf.iloc[0]
-        return pd.DataFrame({"cond": [first["cond"]], "design": [first["design"]], "target": [first["target"]], "seen": [int(pdf["own"].sum())], "mean": [float((pdf["q"] * pdf["times"]).sum())], "p_two": [two], "p_one": [one]})
+        return pd.DataFrame({"cond": [first["cond"]], "design": [first["design"]], "target": [first["target"]], "seen": [int(pdf["own"].sum())], "blocks": [int(pdf["times"].sum())], "mean": [float((pdf["q"] * pdf["times"]).sum())], "p_two": [two], "p_one": [one]})
 
-    return h.groupBy("cond", "design", "target").applyInPandas(tails, "cond string, design string, target string, seen bigint, mean double, p_two double, p_one double")
+    return h.groupBy("cond", "design", "target").applyInPandas(tails, "cond string, design string, target string, seen bigint, blocks bigint, mean double, p_two double, p_one double")
 
 
 @query(_PB + " select cond, target, s as seen, round(mean, 6) as mean, round(least(1.0, list_sum(list_transform(list_filter(range(0, len(a)), lambda i: abs(i - mean) >= abs(s - mean) - 1e-9), lambda i: a[i + 1]))), 8) as p_value from fin where design = 'peers'")
@@ -221,7 +224,7 @@ def sta16_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RANKED + " select judge, round((r1 - n1 * (n1 + 1) / 2) / (n1 * (n - n1)), 6) as auc from rs")
 def sta19_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = ratings(spark, sf_dir).select("judge", F.col("p_yes").alias("v"), (F.col("author") == F.col("judge")).cast("int").alias("g"))
+    x = yes_no(spark, sf_dir).select("judge", F.col("p_yes").alias("v"), (F.col("author") == F.col("judge")).cast("int").alias("g"))
     n1, n = F.col("n1"), F.col("n")
     return rank_sums(x, "v", "g", ["judge"]).select("judge", r6((F.col("r1") - n1 * (n1 + 1) / 2) / (n1 * (n - n1))).alias("auc"))
 
@@ -241,24 +244,56 @@ def sta24_skill_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("cond", "judge", "peer", r6(at(F.col("judge"), F.col("judge")) - at(F.col("peer"), F.col("judge")) - skill).alias("adjusted"))
 
 
-@query(_CELLS + ", b as (select cond, author, judge, avg(correct) r from judg where is_self = 0 group by 1, 2, 3), strong as (select cond, author, judge as peer from (select *, row_number() over (partition by cond, author order by r desc, judge) rn from b) where rn = 1), d as (select s.cond, s.author, sum((a.correct = 1 and p.correct = 0)::int)::bigint as b, sum((a.correct = 0 and p.correct = 1)::int)::bigint as c from strong s join judg a on a.cond = s.cond and a.author = s.author and a.judge = s.author join judg p on p.cond = s.cond and p.author = s.author and p.judge = s.peer and p.prompt_id = a.prompt_id group by 1, 2) select cond, author, b, c, round(list_sum(list_transform(range(b, b + c + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) + 1e-12, 9) as p_value from d")
+@query(_CELLS + ", b as (select cond, author, judge, avg(correct) r from judg where is_self = 0 group by 1, 2, 3), strong as (select cond, author, judge as peer from (select *, row_number() over (partition by cond, author order by r desc, judge) rn from b) where rn = 1), d as (select s.cond, s.author, sum((a.correct = 1 and p.correct = 0)::int)::bigint as b, sum((a.correct = 0 and p.correct = 1)::int)::bigint as c from strong s join judg a on a.cond = s.cond and a.author = s.author and a.judge = s.author join judg p on p.cond = s.cond and p.author = s.author and p.judge = s.peer and p.block = a.block group by 1, 2) select cond, author, b, c, round(list_sum(list_transform(range(b, b + c + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) + 1e-12, 9) as p_value from d")
 def sta28_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own judge against the strongest peer on the same texts, one-sided."""
-    j = judgments(spark, sf_dir).select("cond", "author", "judge", "prompt_id", "correct", "is_self")
+    j = judgments(spark, sf_dir).select("cond", "author", "judge", "block", "correct", "is_self")
     rate = j.where("is_self = 0").groupBy("cond", "author", "judge").agg(F.avg("correct").alias("r"))
     strong = rate.withColumn("rn", F.row_number().over(W.partitionBy("cond", "author").orderBy(F.desc("r"), "judge"))).where("rn = 1").select("cond", "author", "judge")
-    peer = j.join(F.broadcast(strong), ["cond", "author", "judge"]).select("cond", "author", "prompt_id", F.col("correct").alias("pc"))  # ten rows: formats by authors
-    d = j.where("is_self = 1").join(peer, ["cond", "author", "prompt_id"]).groupBy("cond", "author").agg(F.sum(F.expr("cast(correct = 1 and pc = 0 as int)")).alias("b"), F.sum(F.expr("cast(correct = 0 and pc = 1 as int)")).alias("c"))
+    peer = j.join(F.broadcast(strong), ["cond", "author", "judge"]).select("cond", "author", "block", F.col("correct").alias("pc"))  # ten rows: formats by authors
+    d = j.where("is_self = 1").join(peer, ["cond", "author", "block"]).groupBy("cond", "author").agg(F.sum(F.expr("cast(correct = 1 and pc = 0 as int)")).alias("b"), F.sum(F.expr("cast(correct = 0 and pc = 1 as int)")).alias("c"))
     return d.select("cond", "author", "b", "c", r9(exact.binomial_at_least(F.col("b"), F.col("b") + F.col("c"), 0.5) + 1e-12).alias("p_value"))  # tails of fair coins end in a five: both engines round it up
 
 
-@query(CTE + ", g as (select cond, judge, prompt_id, avg(named_self) as m, count(*) as k, var_samp(named_self) as v from jfull group by 1, 2, 3), a as (select cond, judge, 5 * var_samp(m) as msb, avg(v) as msw from g group by 1, 2) select cond, judge, round((msb - msw) / nullif(msb + 4 * msw, 0), 6) as icc, round(1 + 4 * (msb - msw) / nullif(msb + 4 * msw, 0), 6) as design_effect from a")
+#: What clusters, of what, and what is taken off before: namings of oneself by prompt (raw, and less what authorship explains), and hits by prompt and by text.
+_ICC = (("naming", "raw", "prompt_id", "named_self", "0"), ("naming", "residual", "prompt_id", "named_self", "is_self"), ("hit", "prompt", "prompt_id", "correct", "0"), ("hit", "response", "author_prompt", "correct", "0"), ("peer hit", "response", "author_prompt", "correct", "peer"))
+
+
+def _sql_icc() -> str:
+    parts = []
+    for value, variant, cluster, y, less in _ICC:
+        key = "author || '|' || prompt_id" if cluster == "author_prompt" else cluster
+        unit = "author" if cluster == "author_prompt" else "judge"
+        taken = f"{y} - avg({y}) over (partition by cond, {unit}, is_self)" if less == "is_self" else f"{y}::double"
+        parts.append(f"select '{value}' as value, '{variant}' as variant, cond, {unit} as unit, {key} as c, {taken} as y from jfull" + (" where is_self = 0" if less == "peer" else ""))
+    return CTE + ", y as (" + " union all ".join(parts) + "), g as (select value, variant, cond, unit, c, count(*)::double as n, sum(y) as s, sum(y * y) as q from y group by 1, 2, 3, 4, 5), a as (select value, variant, cond, unit, count(*)::double as a, sum(n) as n, sum(n * n) as nn, sum(s) as s, sum(s * s / n) as b, sum(q) as q from g group by 1, 2, 3, 4), m as (select *, (b - s * s / n) / nullif(a - 1, 0) as msb, (q - b) / nullif(n - a, 0) as msw, (n - nn / n) / nullif(a - 1, 0) as n0 from a), i as (select *, (msb - msw) / nullif(msb + (n0 - 1) * msw, 0) as icc from m) select value, variant, cond, unit, round(icc, 6) as icc, round(1 + (n0 - 1) * icc, 6) as design_effect, round(n / (1 + (n0 - 1) * icc), 4) as n_eff from i"
+
+
+@query(_sql_icc())
 def sta31_icc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ICC(1) of naming oneself within prompts, and the design effect of five judgments a prompt."""
-    g = full(spark, sf_dir).groupBy("cond", "judge", "prompt_id").agg(F.avg("named_self").alias("m"), F.var_samp("named_self").alias("v"))
-    a = g.groupBy("cond", "judge").agg((5 * F.var_samp("m")).alias("msb"), F.avg("v").alias("msw"))
-    icc = F.try_divide(F.col("msb") - F.col("msw"), F.col("msb") + 4 * F.col("msw"))
-    return a.select("cond", "judge", r6(icc).alias("icc"), r6(1 + 4 * icc).alias("design_effect"))
+    """ICC(1) by analysis of variance for clusters of unequal size, the design effect, and the effective number of judgments.
+
+    One pass: sums and squares per cluster, then per case; no cluster is held in a task.
+    """
+    j = full(spark, sf_dir)
+    by_self = j.groupBy("cond", "judge", "is_self").agg(F.avg("named_self").alias("mean"))
+    j = j.join(F.broadcast(by_self), ["cond", "judge", "is_self"])  # two rows per format and judge of the panel
+    text_key = F.concat_ws("|", "author", "prompt_id")
+    rows = []
+    for value, variant, cluster, y, less in _ICC:
+        by_text = cluster == "author_prompt"
+        taken = F.col(y) - F.col("mean") if less == "is_self" else F.col(y).cast("double")
+        x = F.struct(F.lit(value).alias("value"), F.lit(variant).alias("variant"), F.col("author" if by_text else "judge").alias("unit"), (text_key if by_text else F.col(cluster)).alias("c"), taken.alias("y"))
+        rows.append(F.when(F.col("is_self") == 0, x) if less == "peer" else x)
+    long = j.select("cond", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("cond", "x.*")
+    y = F.col("y")
+    g = long.groupBy("value", "variant", "cond", "unit", "c").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
+    s, n = F.col("s"), F.col("n")
+    a = g.groupBy("value", "variant", "cond", "unit").agg(F.count(F.lit(1)).cast("double").alias("a"), F.sum(s * s / n).alias("b"), F.sum(n * n).alias("nn"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    m = a.select("*", F.try_divide(F.col("b") - s * s / n, F.col("a") - 1).alias("msb"), F.try_divide(F.col("q") - F.col("b"), n - F.col("a")).alias("msw"), F.try_divide(n - F.col("nn") / n, F.col("a") - 1).alias("n0"))
+    m = m.withColumn("icc", F.try_divide(F.col("msb") - F.col("msw"), F.col("msb") + (F.col("n0") - 1) * F.col("msw")))
+    effect = 1 + (F.col("n0") - 1) * F.col("icc")
+    return m.select("value", "variant", "cond", "unit", r6("icc").alias("icc"), r6(effect).alias("design_effect"), F.round(n / effect, 4).alias("n_eff"))
 
 
 _HOLM = _CELLS + f", p as (select cond, judge, {_sql_binom('h', 'hn', False)} as p from cells)"
@@ -288,14 +323,14 @@ def sta35_usual_or_proper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("cond").agg(n(F.col("u")).alias("usual"), n(F.col("p")).alias("proper"), n(F.col("u") & ~F.col("p")).alias("false_positive"), n(~F.col("u") & F.col("p")).alias("missed"))
 
 
-@query(_PB + ", t as (select cond, design, target, s, list_sum(list_transform(list_filter(range(0, len(a)), lambda i: i >= s - 1e-9), lambda i: a[i + 1])) as p1 from fin), n as (select cond, target, any_value(len(q)) as n, any_value(s) as s from hist group by 1, 2), v as (select d.cond, d.target as judge, n.s as hits, n.n as n, " + _sql_binom("n.s", "n.n", False).replace("lambda i", "lambda i") + " as p_flag, d.p1 as p_disc, e.p1 as p_adv from t d join t e on d.cond = e.cond and d.target = e.target and d.design = 'own' and e.design = 'peers' join n on n.cond = d.cond and n.target = d.target), l as (select cond, judge, hits, n, unnest(['flag', 'disc', 'adv']) as test, unnest([p_flag, p_disc, p_adv]) as p from v), s as (select *, least(1.0, (5 - row_number() over (partition by cond, test order by p, judge) + 1) * p) as st from l), h as (select *, max(st) over (partition by cond, test order by p, judge rows unbounded preceding) as holm from s) select cond, judge, any_value(hits) as hits, any_value(n) as n, (max(holm) filter (test = 'flag') < 0.05)::int as flagged, (max(holm) filter (test = 'disc') < 0.05)::int as discriminates, (max(holm) filter (test = 'adv') < 0.05)::int as exceeds_peers, (max(holm) filter (test = 'disc') < 0.05 and max(holm) filter (test = 'adv') < 0.05)::int as passes from h group by cond, judge")
+@query(_PB + ", t as (select cond, design, target, s, list_sum(list_transform(list_filter(range(0, len(a)), lambda i: i >= s - 1e-9), lambda i: a[i + 1])) as p1 from fin), n as (select cond, target, len(q) as n, s from hist where design = 'own'), v as (select d.cond, d.target as judge, n.s as hits, n.n as n, " + _sql_binom("n.s", "n.n", False).replace("lambda i", "lambda i") + " as p_flag, d.p1 as p_disc, e.p1 as p_adv from t d join t e on d.cond = e.cond and d.target = e.target and d.design = 'own' and e.design = 'peers' join n on n.cond = d.cond and n.target = d.target), l as (select cond, judge, hits, n, unnest(['flag', 'disc', 'adv']) as test, unnest([p_flag, p_disc, p_adv]) as p from v), s as (select *, least(1.0, (5 - row_number() over (partition by cond, test order by p, judge) + 1) * p) as st from l), h as (select *, max(st) over (partition by cond, test order by p, judge rows unbounded preceding) as holm from s) select cond, judge, any_value(hits) as hits, any_value(n) as n, (max(holm) filter (test = 'flag') < 0.05)::int as flagged, (max(holm) filter (test = 'disc') < 0.05)::int as discriminates, (max(holm) filter (test = 'adv') < 0.05)::int as exceeds_peers, (max(holm) filter (test = 'disc') < 0.05 and max(holm) filter (test = 'adv') < 0.05)::int as passes from h group by cond, judge")
 def sta36_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on each judge and format: flagged against chance, discriminating, exceeding peers, and passing both."""
     ship(spark)
     j = full(spark, sf_dir)
-    p = exact_p(j)
+    p = materialise(exact_p(j), "exact")  # a row per case and design, read thrice
     wide = p.groupBy("cond", "target").agg(F.max("seen").alias("hits"), F.max(F.when(F.col("design") == "own", F.col("p_one"))).alias("p_disc"), F.max(F.when(F.col("design") == "peers", F.col("p_one"))).alias("p_adv"))
-    n = j.groupBy("cond", F.col("author").alias("target")).agg(F.count_distinct("prompt_id").alias("n"))
+    n = p.where("design = 'own'").select("cond", "target", F.col("blocks").alias("n"))
     v = wide.join(n, ["cond", "target"]).select("cond", F.col("target").alias("judge"), "hits", "n", exact.binomial_at_least(F.col("hits"), F.col("n"), CHANCE).alias("p_flag"), "p_disc", "p_adv")
     for t in ("flag", "disc", "adv"):
         v = with_holm(v, f"p_{t}", ["cond"], ["judge"], f"h_{t}")

@@ -10,7 +10,7 @@ from tallyard.functions import text
 from tallyard.operators.delivery import keep_one
 from tallyard.operators.ordering import mid_ranks
 from tallyard.plans.registry import registry
-from tallyard.sources.fixtures import CTE, judgments, ratings, responses
+from tallyard.sources.fixtures import CTE, judgments, quality, ratings, responses, yes_no
 from tallyard.sources.tables import table
 
 QUERIES, SQL, query = registry()
@@ -44,16 +44,16 @@ def win03_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_one(g, ["prompt_id"], [-F.col("n")]).select("prompt_id", F.col("n").alias("longest"), F.col("t").alias("ties"))
 
 
-@query(CTE + "select judge, p_yes, (rank() over (partition by judge order by p_yes) + (count(*) over (partition by judge, p_yes) - 1) / 2)::double as mid from rate qualify row_number() over (partition by judge, p_yes order by prompt_id) = 1")
+@query(CTE + "select judge, p_yes, (rank() over (partition by judge order by p_yes) + (count(*) over (partition by judge, p_yes) - 1) / 2)::double as mid from yesno qualify row_number() over (partition by judge, p_yes order by item) = 1")
 def win04_mid_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mid_ranks(ratings(spark, sf_dir), "p_yes", ["judge"]).select("judge", "p_yes", F.col("mid").cast("double").alias("mid"))
+    return mid_ranks(yes_no(spark, sf_dir), "p_yes", ["judge"]).select("judge", "p_yes", F.col("mid").cast("double").alias("mid"))
 
 
-@query(CTE + "select prompt_id, author, judge, round((quality - avg(quality) over w) / coalesce(nullif(stddev_samp(quality) over w, 0), 1), 6) as z from rate window w as (partition by prompt_id, judge)")
+@query(CTE + "select item, round((quality - avg(quality) over w) / coalesce(nullif(stddev_samp(quality) over w, 0), 1), 6) as z from qual window w as (partition by block, judge)")
 def win05_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("prompt_id", "judge")
+    w = W.partitionBy("block", "judge")
     sd = F.coalesce(F.nullif(F.stddev_samp("quality").over(w), F.lit(0.0)), F.lit(1.0))
-    return ratings(spark, sf_dir).select("prompt_id", "author", "judge", F.round((F.col("quality") - F.avg("quality").over(w)) / sd, 6).alias("z"))
+    return quality(spark, sf_dir).select("item", F.round((F.col("quality") - F.avg("quality").over(w)) / sd, 6).alias("z"))
 
 
 @query(CTE + "select prompt_id, min(len(list_filter(string_split_regex(coalesce(text, ''), '[\\s\\p{Z}]+'), lambda x: x <> '')))::int as floor_ from resp group by prompt_id")
@@ -62,25 +62,25 @@ def win06_group_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("prompt_id").agg(F.min("n").alias("floor_"))
 
 
-@query(CTE + "select prompt_id, judge, author from (select *, row_number() over (partition by prompt_id, judge order by lp_cond desc, author_idx) rn from rate) where rn = 1")
+@query(CTE + "select block, judge, author from (select *, row_number() over (partition by block, judge order by lp_cond desc, author_idx) rn from rate) where rn = 1")
 def win07_arg_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_one(ratings(spark, sf_dir), ["prompt_id", "judge"], [-F.col("lp_cond"), F.col("author_idx")], ["author", "lp_cond"]).select("prompt_id", "judge", "author")
+    return keep_one(ratings(spark, sf_dir), ["block", "judge"], [-F.col("lp_cond"), F.col("author_idx")], ["author", "lp_cond"]).select("block", "judge", "author")
 
 
-@query(CTE + "select k, round(confidence - avg(confidence) over (partition by cond, prompt_id, judge), 6) as demeaned from judg")
+@query(CTE + "select k, round(confidence - avg(confidence) over (partition by cond, block, judge), 6) as demeaned from judg")
 def win08_demeaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judgments(spark, sf_dir).select("k", F.round(F.col("confidence") - F.avg("confidence").over(W.partitionBy("cond", "prompt_id", "judge")), 6).alias("demeaned"))
+    return judgments(spark, sf_dir).select("k", F.round(F.col("confidence") - F.avg("confidence").over(W.partitionBy("cond", "block", "judge")), 6).alias("demeaned"))
 
 
-@query(CTE + ", s as (select prompt_id, judge, author, quality as s from rate) select j.k as k, round(1 + count(*) filter (o.s > g.s) + 0.5 * count(*) filter (o.s = g.s and o.author <> g.author), 6) as guess_rank from judg j join s g on g.prompt_id = j.prompt_id and g.judge = j.judge and g.author = j.guess join s o on o.prompt_id = j.prompt_id and o.judge = j.judge where j.cond = 'lineup' group by j.k")
+@query(CTE + ", s as (select block, judge, author, quality as s from qual) select j.k as k, round(1 + count(*) filter (o.s > g.s) + 0.5 * count(*) filter (o.s = g.s and o.author <> g.author), 6) as guess_rank from judg j join s g on g.block = j.block and g.judge = j.judge and g.author = j.guess join s o on o.block = j.block and o.judge = j.judge where j.cond = 'single' group by j.k")
 def win09_guess_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of the guessed author among a prompt's five: one more than those above, and half of those level."""
-    s = ratings(spark, sf_dir).groupBy("prompt_id", "judge").agg(F.map_from_entries(F.collect_list(F.struct("author", "quality"))).alias("m"))
-    j = judgments(spark, sf_dir).where("cond = 'lineup'").select("k", "prompt_id", "judge", "guess")
-    own = F.element_at("m", F.col("guess"))
+    """Rank of the guessed author among the texts of a block that the judge rated: one more than those above, and half of those level."""
+    s = quality(spark, sf_dir).groupBy("block", "judge").agg(F.map_from_entries(F.collect_list(F.struct("author", "quality"))).alias("m"))
+    j = judgments(spark, sf_dir).where("cond = 'single'").select("k", "block", "judge", "guess")
+    own = F.try_element_at("m", F.col("guess"))
     above = F.size(F.filter(F.map_values("m"), lambda x: x > own))
     level = F.size(F.filter(F.map_values("m"), lambda x: x == own)) - 1
-    return j.join(s, ["prompt_id", "judge"]).select("k", F.round(1 + above + 0.5 * level, 6).alias("guess_rank"))
+    return j.join(s, ["block", "judge"]).where(own.isNotNull()).select("k", F.round(1 + above + 0.5 * level, 6).alias("guess_rank"))
 
 
 def holm(p: Column, family: list[str], ties: list[str]) -> Column:
