@@ -94,3 +94,11 @@ def haldane(h: Column, hn: Column, f: Column, fn: Column) -> tuple[Column, Colum
     """Log odds ratio with a half added to each cell, and its standard error."""
     a, b, c, d = h + 0.5, hn - h + 0.5, f + 0.5, fn - f + 0.5
     return F.log(a * d / (b * c)), F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+
+
+def sql_fisher(a: str, b: str, c: str, d: str) -> str:
+    """The DuckDB counterpart of ``fisher``."""
+    lc = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+    row, col, n = f"({a} + {b})", f"({a} + {c})", f"({a} + {b} + {c} + {d})"
+    ln = lambda i: f"({lc(row, i)} + {lc(f'({n} - {row})', f'({col} - {i})')} - {lc(n, col)})"
+    return f"least(1.0, list_sum(list_transform(list_filter(range(greatest(0, {col} - ({n} - {row})), least({row}, {col}) + 1), lambda i: {ln('i')} <= {ln(a)} + ln(1 + 1e-7)), lambda i: exp({ln('i')}))))"

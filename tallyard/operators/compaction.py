@@ -11,7 +11,6 @@ was written are then compared as order-free sums, without a join.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from math import ceil
 
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyard.durable import fresh_path, materialise
+from tallyard.functions.spans import object_spans
 from tallyard.operators.delivery import keep_one
 
 SEPARATOR, ESCAPE = "\x1e", "\x1b"
@@ -65,31 +65,6 @@ def compact(files: DataFrame, body: str = "body", target_bytes: int = 128 << 20,
     return written.select(_unstuff(F.col("value")).alias("payload")), path
 
 
-_TOKEN = re.compile(r'"(?:[^"\\\x00-\x1f]|\\.)*"|["{}\[\]]')
-
-
-def _spans(text: str) -> list[tuple[int, int]]:
-    """Largest complete {...} spans, in one pass; an unfinished string or bracket ends what is open."""
-    stack: list[tuple[str, int]] = []
-    done: list[tuple[int, int]] = []
-    for m in _TOKEN.finditer(text):
-        t, at = m.group(), m.start()
-        if t in "{[":
-            stack.append((t, at))
-        elif t in "}]":
-            if stack and stack[-1][0] == {"}": "{", "]": "["}[t]:
-                start = stack.pop()[1]
-                if t == "}":
-                    while done and done[-1][0] > start:
-                        done.pop()
-                    done.append((start, at + 1))
-            else:
-                stack.clear()
-        elif t == '"':
-            stack.clear()
-    return done
-
-
 def _walk(value: object) -> Iterator[tuple[str, str]]:
     todo = [value]
     while todo:
@@ -110,7 +85,7 @@ def calls_in(text: str | None) -> list[tuple[str, str]]:
     todo = [text or ""]
     while todo:
         piece = todo.pop()
-        for a, b in _spans(piece):
+        for a, b in object_spans(piece):
             try:
                 out.extend(_walk(json.loads(piece[a:b])))
             except (ValueError, RecursionError):
@@ -152,7 +127,7 @@ def call_objects(text: str | None) -> list[tuple[str, str, str]]:
     todo: list[tuple[str, set | None]] = [(text or "", None)]
     while todo:
         piece, among = todo.pop()
-        for a, b in _spans(piece):
+        for a, b in object_spans(piece):
             try:
                 value = json.loads(piece[a:b])
                 held = set(_walk(value))

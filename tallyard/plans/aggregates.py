@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyard.functions import exact
+from tallyard.functions.lexicons import FIRST, FIRST_FAMILIES, SECOND, before_tuning, either
 from tallyard.plans.registry import registry
 from tallyard.sources.fixtures import CTE, MODELS, judgments, judgments_all, quality, ratings, responses
 from tallyard.sources.tables import table
 
 QUERIES, SQL, query = registry()
-CUES = {"length": "length|short|long", "dashes": "dash", "structure": "paragraph|list|structure", "hedging": "perhaps|hedge", "names": "gpt|claude|gemini"}
+CUES = tuple(FIRST)
 
 
 def cnt(c: Column | str = "1") -> Column:
@@ -220,10 +222,10 @@ def agg22_rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cued(j: DataFrame) -> DataFrame:
-    return j.withColumns({c: F.col("reason").rlike(f"(?i)({p})").cast("int") for c, p in CUES.items()})
+    return j.withColumns({c: F.col("reason").rlike(either(p)).cast("int") for c, p in FIRST.items()})
 
 
-_CUED = CTE + ", cued as (select *, " + ", ".join(f"regexp_matches(reason, '(?i)({p})')::int as {c}" for c, p in CUES.items()) + " from judg)"
+_CUED = CTE + ", cued as (select *, " + ", ".join(f"regexp_matches(reason, '{either(p)}')::int as {c}" for c, p in FIRST.items()) + " from judg)"
 
 
 @query(_CUED + ", st as (select cond, judge, unnest([" + ", ".join(f"'{c}'" for c in CUES) + "]) as cue, unnest([" + ", ".join(CUES) + "]) as v from cued) select cond, coalesce(judge, 'all') as judge, cue, sum(v)::bigint as k, round(avg(v), 6) as share from st group by grouping sets ((cond, judge, cue), (cond, cue))")
@@ -233,10 +235,21 @@ def agg23_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("judge", F.coalesce("judge", F.lit("all")))
 
 
-@query(_CUED + ", st as (select correct, unnest([" + ", ".join(f"'{c}'" for c in CUES) + "]) as cue, unnest([" + ", ".join(CUES) + "]) as v from cued) select cue, round(avg(v), 6) as share, round(avg(v) filter (correct = 1), 6) as when_right, round(avg(v) filter (correct = 0), 6) as when_wrong from st group by cue")
+_ANY = {**{f"any_{f}": cs for f, cs in FIRST_FAMILIES.items()}, "uncategorised": CUES}
+_SHARES = [*CUES, *_ANY]
+_SHARES_SQL = [*CUES, *[f"greatest({', '.join(cs)})" if k != "uncategorised" else f"1 - greatest({', '.join(cs)})" for k, cs in _ANY.items()]]
+
+
+@query(_CUED + ", st as (select correct, unnest([" + ", ".join(f"'{c}'" for c in _SHARES) + "]) as cue, unnest([" + ", ".join(_SHARES_SQL) + "]) as v from cued), c as (select cue, count(*) as n, sum(v)::bigint as k, sum(v * correct)::bigint as a, sum((1 - v) * correct)::bigint as b, sum(v * (1 - correct))::bigint as c, sum((1 - v) * (1 - correct))::bigint as d from st group by cue) select cue, round(k / n, 6) as share, round(a / nullif(a + b, 0), 6) as when_right, round(c / nullif(c + d, 0), 6) as when_wrong, round(" + exact.sql_fisher("a", "b", "c", "d") + ", 9) as p_value from c")
 def agg24_cue_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = cued(judgments(spark, sf_dir)).select("correct", F.inline(F.array(*[F.struct(F.lit(c).alias("cue"), F.col(c).alias("v")) for c in CUES])))
-    return long.groupBy("cue").agg(r6(F.avg("v")).alias("share"), r6(avg_if("correct = 1", "v")).alias("when_right"), r6(avg_if("correct = 0", "v")).alias("when_wrong"))
+    """Shares of stated cues, of any cue of a family, and of reasons without one; when right and when wrong, with Fisher's test."""
+    x = cued(judgments(spark, sf_dir))
+    v = [*[F.col(c) for c in CUES], *[F.greatest(*cs) if len(cs) > 1 else F.col(cs[0]) for k, cs in _ANY.items() if k != "uncategorised"], 1 - F.greatest(*CUES)]
+    long = x.select("correct", F.inline(F.array(*[F.struct(F.lit(c).alias("cue"), y.alias("v")) for c, y in zip(_SHARES, v)])))
+    right, has = F.col("correct") == 1, F.col("v") == 1
+    c = long.groupBy("cue").agg(n().alias("n"), F.sum("v").alias("k"), *[cnt(e).alias(k) for k, e in (("a", has & right), ("b", ~has & right), ("c", has & ~right), ("d", ~has & ~right))])
+    a, b, c_, d = (F.col(k) for k in "abcd")
+    return c.select("cue", r6(F.col("k") / F.col("n")).alias("share"), r6(F.try_divide(a, a + b)).alias("when_right"), r6(F.try_divide(c_, c_ + d)).alias("when_wrong"), F.round(exact.fisher(a, b, c_, d), 9).alias("p_value"))
 
 
 @query(_CUED + " select cond, case when is_self = 1 and named_self = 1 then 'self hit' when is_self = 0 and named_self = 1 then 'self false alarm' when is_self = 0 and correct = 1 then 'peer hit' end as population, count(*) as n, " + ", ".join(f"round(avg({c}), 6) as {c}" for c in CUES) + " from cued where named_self = 1 or (is_self = 0 and correct = 1) group by 1, 2")
@@ -245,15 +258,31 @@ def agg25_cue_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cued(judgments(spark, sf_dir)).withColumn("population", pop).where("population is not null").groupBy("cond", "population").agg(n().alias("n"), *[r6(F.avg(c)).alias(c) for c in CUES])
 
 
-@query(_CUED + ", ag as (select length as a, (confidence >= 3 and length = 1)::int as b from cued), s as (select sum(a * b) tp, sum((1 - a) * b) fp, sum(a * (1 - b)) fn, sum((1 - a) * (1 - b)) tn from ag) select tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(tp / nullif(tp + fp, 0), 6) as p, round(tp / nullif(tp + fn, 0), 6) as r, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1, round(((tp + tn) / (tp + fp + fn + tn) - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / ((tp + fp + fn + tn) * (tp + fp + fn + tn))) / nullif(1 - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / ((tp + fp + fn + tn) * (tp + fp + fn + tn)), 0), 6) as kappa from s")
-def agg26_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two codings of one cue: precision, recall, F1 and Cohen's kappa."""
-    x = cued(judgments(spark, sf_dir)).select(F.col("length").alias("a"), F.expr("cast(confidence >= 3 and length = 1 as int)").alias("b"))
-    s = x.agg(cnt("a = 1 and b = 1").alias("tp"), cnt("a = 0 and b = 1").alias("fp"), cnt("a = 1 and b = 0").alias("fn"), cnt("a = 0 and b = 0").alias("tn"))
+def agreement(x: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Per category, and 'micro' over all of them: counts, precision, recall, F1 and Cohen's kappa of a coding (0 or 1) against a reference; 'exact': rows in which all agree.
+
+    One pass over the rows; null where a figure has no denominator.
+    """
+    both = [F.struct(F.lit(c).alias("category"), *[F.sum(((a == i) & (b == j)).cast("int")).alias(n) for n, i, j in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]) for c, (a, b) in pairs.items()]
+    same = reduce(lambda p, q: p & q, [a == b for a, b in pairs.values()])
+    s = x.agg(F.array(*both).alias("cells"), F.sum(same.cast("int")).alias("same"), n().alias("rows"))
+    total = lambda k: F.aggregate("cells", F.lit(0).cast("bigint"), lambda s, c: s + c[k])
+    micro = F.struct(F.lit("micro").alias("category"), *[total(k).alias(k) for k in ("tp", "fp", "fn", "tn")])
+    match = F.struct(F.lit("exact").alias("category"), F.col("same").alias("tp"), F.lit(0).cast("bigint").alias("fp"), (F.col("rows") - F.col("same")).alias("fn"), F.lit(0).cast("bigint").alias("tn"))
+    rows = s.select(F.inline(F.concat("cells", F.array(micro, match))))
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     t = tp + fp + fn + tn
     pe = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (t * t)
-    return s.select("tp", "fp", "fn", r6(F.try_divide(tp, tp + fp)).alias("p"), r6(F.try_divide(tp, tp + fn)).alias("r"), r6(F.try_divide(2 * tp, 2 * tp + fp + fn)).alias("f1"), r6(F.try_divide((tp + tn) / t - pe, 1 - pe)).alias("kappa"))
+    kappa = F.when(~F.col("category").isin("micro", "exact"), F.try_divide((tp + tn) / t - pe, 1 - pe))
+    return rows.select("category", "tp", "fp", "fn", "tn", r6(F.try_divide(tp, tp + fp)).alias("p"), r6(F.try_divide(tp, tp + fn)).alias("r"), r6(F.try_divide(2 * tp, 2 * tp + fp + fn)).alias("f1"), r6(kappa).alias("kappa"))
+
+
+@query()
+def agg26_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second coder before its tuning round against itself after it, category by category (its look-arounds exist only on the JVM)."""
+    r = judgments(spark, sf_dir).where("cond = 'single' and reason is not null").select(F.translate("reason", "‘’“”", "''\"\"").alias("r"))
+    coded = r.select(*[F.col("r").rlike(either(p)).cast("int").alias(c) for c, p in SECOND.items()], *[F.col("r").rlike(either(before_tuning(c))).cast("int").alias(f"{c}_v0") for c in SECOND])
+    return agreement(coded, {c: (F.col(c), F.col(f"{c}_v0")) for c in SECOND})
 
 
 @query("with c as (select split_part(regexp_replace(source_file, '^.*/', ''), '__', 1) as condition, request_model as model, response.usage.total_tokens as tokens, response.usage.cost as cost from raw_responses) select coalesce(condition, 'all') as condition, coalesce(model, 'all') as model, count(*) as calls, sum(tokens)::bigint as tokens, round(sum(cost), 6) as cost from c where model is not null group by grouping sets ((condition, model), (condition), ())")

@@ -143,7 +143,7 @@ def ml8_mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with " + _sql_tfidf(_WORDS_SQL) + " select doc_id, count(*) as terms, round(sum(w), 5) as weight from wv group by doc_id")
 def ml9_shuffle_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word weights of texts with their words shuffled: the same as of the texts themselves."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.shuffled(F.col("text"), "7").alias("text"))
+    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.shuffled(F.col("text"), F.concat_ws("|", F.lit("7"), "doc_id")).alias("text"))
     return tfidf(_words(d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("w"), 5).alias("weight"))
 
 

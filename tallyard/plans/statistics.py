@@ -46,13 +46,6 @@ def _sql_binom(k: str, n: str, two: bool = True) -> str:
     return f"least(1.0, list_sum(list_transform(list_filter(range(0, {n} + 1), lambda i: {keep}), lambda i: exp({lb('i')}))))"
 
 
-def _sql_fisher(a: str, b: str, c: str, d: str) -> str:
-    lc = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
-    row, col, n = f"({a} + {b})", f"({a} + {c})", f"({a} + {b} + {c} + {d})"
-    ln = lambda i: f"({lc(row, i)} + {lc(f'({n} - {row})', f'({col} - {i})')} - {lc(n, col)})"
-    return f"least(1.0, list_sum(list_transform(list_filter(range(greatest(0, {col} - ({n} - {row})), least({row}, {col}) + 1), lambda i: {ln('i')} <= {ln(a)} + ln(1 + 1e-7)), lambda i: exp({ln('i')}))))"
-
-
 @query(_CELLS + f" select cond, judge, h, hn, round({_sql_binom('h', 'hn')}, 9) as p_two, round({_sql_binom('h', 'hn', False)}, 9) as p_greater from cells")
 def sta01_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(judgments(spark, sf_dir))
@@ -71,7 +64,7 @@ def sta03_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(judgments(spark, sf_dir)).select("cond", "judge", r6(low).alias("low"), r6(high).alias("high"))
 
 
-@query(_CELLS + f" select cond, judge, round({_sql_fisher('h', '(hn - h)', 'p', '(pn - p)')}, 9) as p_value, round((h * (pn - p)) / nullif((hn - h) * p, 0), 6) as odds_ratio from cells")
+@query(_CELLS + f" select cond, judge, round({exact.sql_fisher('h', '(hn - h)', 'p', '(pn - p)')}, 9) as p_value, round((h * (pn - p)) / nullif((hn - h) * p, 0), 6) as odds_ratio from cells")
 def sta04_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own against peers' hits on the judge's texts."""
     h, hn, p, pn = (F.col(x) for x in ("h", "hn", "p", "pn"))
@@ -86,11 +79,11 @@ def sta05_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("cond").agg(x.alias("x")).select("cond", r6("x").alias("chi2"), r9(exact.chi2_even(F.col("x"), 4)).alias("p_value"))
 
 
-@query(_CUED + ", c as (select judge, names, count(*) n from cued group by 1, 2), e as (select *, sum(n) over (partition by judge) * sum(n) over (partition by names) / sum(n) over () as e from c) select round(sum((n - e) ^ 2 / e), 6) as chi2, round(exp(-sum((n - e) ^ 2 / e) / 2) * (1 + sum((n - e) ^ 2 / e) / 2), 9) as p_value from e")
+@query(_CUED + ", c as (select judge, names_a_model as names, count(*) n from cued group by 1, 2), e as (select *, sum(n) over (partition by judge) * sum(n) over (partition by names) / sum(n) over () as e from c) select round(sum((n - e) ^ 2 / e), 6) as chi2, round(exp(-sum((n - e) ^ 2 / e) / 2) * (1 + sum((n - e) ^ 2 / e) / 2), 9) as p_value from e")
 def sta06_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges by whether a reason names a model."""
-    c = cued(judgments(spark, sf_dir)).groupBy("judge", "names").agg(F.count(F.lit(1)).alias("n"))
-    e = c.withColumn("e", F.sum("n").over(W.partitionBy("judge")) * F.sum("n").over(W.partitionBy("names")) / F.sum("n").over(W.partitionBy(F.lit(0))))
+    c = cued(judgments(spark, sf_dir)).groupBy("judge", "names_a_model").agg(F.count(F.lit(1)).alias("n"))
+    e = c.withColumn("e", F.sum("n").over(W.partitionBy("judge")) * F.sum("n").over(W.partitionBy("names_a_model")) / F.sum("n").over(W.partitionBy(F.lit(0))))
     return e.agg(F.sum((F.col("n") - F.col("e")) ** 2 / F.col("e")).alias("x")).select(r6("x").alias("chi2"), r9(exact.chi2_even(F.col("x"), 4)).alias("p_value"))
 
 

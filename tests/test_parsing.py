@@ -58,5 +58,5 @@ def test_syllables(spark):
 
 def test_shuffle_keeps_the_words(spark):
     df = spark.createDataFrame([("a b c d e f g h",), ("",), (None,)], "t string")
-    r = [x["s"] for x in df.select(text.shuffled(F.col("t"), "7").alias("s")).collect()]
+    r = [x["s"] for x in df.select(text.shuffled(F.col("t"), F.lit("7")).alias("s")).collect()]
     assert sorted(r[0].split()) == list("abcdefgh") and r[0] != "a b c d e f g h" and r[1] == "" and r[2] == ""
