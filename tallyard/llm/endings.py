@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 NONE, COMPLETE, CUT, OPEN = "none", "complete", "cut", "open"
 
@@ -48,27 +49,20 @@ def _unbalanced(text: str) -> bool:
     return inside or depth > 0
 
 
-def closing_key(sentence: str) -> str:
-    return " ".join(re.sub(r"[\s.!?\"'”’»)\]*_]+$", "", sentence).split()[-3:]).lower()
+def last_words(sentence: str) -> tuple[str, str, str]:
+    """The last three, two and one words in lower case, without the marks that close them; '' where there are fewer."""
+    w = re.sub(r"[\s.!?\"'”’»)\]*_]+$", "", sentence).lower().split()
+    return tuple(" ".join(w[-k:]) if len(w) >= k else "" for k in (3, 2, 1))  # type: ignore[return-value]
 
 
-def opening_key(sentence: str) -> str:
-    return " ".join(sentence.split()[:2]).lower()
-
-
-def last_word(text: str) -> str:
-    w = _WORD.findall(text.lower())
-    return w[-1] if w else ""
-
-
-def ending(text: str | None) -> tuple[str, str, str, str, str, int]:
-    """(state, kind, opening, closing, word, n).
+def ending(text: str | None) -> tuple[str, str, str, str, str]:
+    """(state, kind, three, two, one).
 
     state: 'none' (no letter or digit), 'complete', 'cut', or 'open': the last
     sentence or list item has no final mark and the corpus must say whether only the
-    mark is missing. kind: 'sentence' or 'item'; the rest are its keys and length.
+    mark is missing. kind: 'sentence' or 'item'; the rest are its last words.
     """
-    nothing = ("", "", "", "", 0)
+    nothing = ("", "", "", "")
     if not text or not any(ch.isalnum() for ch in text):
         return (NONE, *nothing)
     s = _bare(text)
@@ -105,7 +99,7 @@ def ending(text: str | None) -> tuple[str, str, str, str, str, int]:
         n = len(m.group(1).split())
         if n < min(others, default=1):
             return (CUT, *nothing)
-        return (OPEN, "item", "", "", last_word(last), n)
+        return (OPEN, "item", *last_words(last))
     if _ASSIGN.match(last):
         return (COMPLETE, *nothing)
     if _SLOT.match(last) and " - " not in last and (len(filled) == 1 or " - " in filled[-2]):
@@ -117,46 +111,72 @@ def ending(text: str | None) -> tuple[str, str, str, str, str, int]:
     if len(filled) > 1 and filled[-2].rstrip().endswith(",") and len(filled[-2].split()) <= 4 and len(last.split()) in (2, 3, 4):
         return (COMPLETE, *nothing)  # a closing formula with its name
     sentence = _SENTENCE.split(last)[-1]
-    return (OPEN, "sentence", opening_key(sentence), closing_key(sentence), last_word(sentence), len(sentence.split()))
+    return (OPEN, "sentence", *last_words(sentence))
+
 
+_TAIL = re.compile(r"[.!?\"'”’»)\]*_,;:–—]+$")
 
-def interior(text: str | None) -> list[tuple[str, str, int]]:
-    """(kind, key, words) of every finished sentence or item that the text goes on after.
 
-    kinds: 'o' opening words of a sentence with a final mark, 'c' its closing words,
-    'w' a word that something follows.
+def interior(text: str | None) -> Iterator[tuple[str, str, bool]]:
+    """(kind, key, closing) of all words that stand in something finished.
+
+    kinds: 't' three words, 'p' a pair, 'w' one. closing: they are the last of a sentence
+    that has its mark, or of a list item, and the text goes on after it; else a word follows
+    them in the same sentence.
     """
-    out: list[tuple[str, str, int]] = [("w", w, 1) for w in set(_WORD.findall(" ".join((text or "").split()[:-1]).lower()))]
     lines = [x.strip() for x in (text or "").split("\n") if x.strip()]
     for i, line in enumerate(lines):
         end = i == len(lines) - 1
-        if _ITEM.match(line):
-            continue
-        parts = _SENTENCE.split(line)
-        for s in parts[:-1] if end else parts:
-            if _FINAL.search(s):
-                n = len(s.split())
-                out += [("o", opening_key(s), n), ("c", closing_key(s), n)]
-    return out
-
-
-def align(early: str, late: str) -> str | None:
-    """'cut' if ``early`` stops where its near-copy ``late`` goes on with words, 'complete' if only with marks, else None."""
+        item = _ITEM.match(line)
+        parts = [item.group(1)] if item else _SENTENCE.split(line)
+        for at, s in enumerate(parts):
+            w = s.lower().split()
+            over = end and at == len(parts) - 1
+            for j in range(len(w) - 1 - over):  # the word before an open end may go on anywhere
+                x = _TAIL.sub("", w[j])
+                yield "w", x, False
+                if j:
+                    yield "p", " ".join(w[j - 1 : j + 1]), False
+                if j > 1:
+                    yield "t", " ".join(w[j - 2 : j + 1]), False
+            if not over and (item or _FINAL.search(s)):
+                for kind, key in zip("tpw", last_words(s)):
+                    if key:
+                        yield kind, key, True
+
+
+def _places(words: list[str], run: list[str]) -> list[int]:
+    k, first = len(run), run[0]
+    return [i for i in range(len(words) - k + 1) if words[i] == first and words[i : i + k] == run]
+
+
+def align(early: str, late: str, run: int = 5) -> str | None:
+    """'cut' if ``early`` stops where its near-copy ``late`` goes on with words, 'complete' if only with marks, else None.
+
+    The last ``run`` whole words of ``early`` are found in ``late``, where they stand nearest
+    to the same place; a broken last word must begin the word that follows them there.
+    """
     a, b = _bare(early), _bare(late)
     if b.startswith(a):
         rest = b[len(a) :]
     else:
-        from difflib import SequenceMatcher
-
         x, y = a.split(), b.split()
-        blocks = [k for k in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if k.size]
-        if not blocks:
-            return None
-        k = blocks[-1]
-        tail = x[k.a + k.size :]
-        if len(tail) > 1 or (tail and not (k.b + k.size < len(y) and y[k.b + k.size].startswith(tail[0]))):
+        rest = None
+        for broken in ("", *x[-1:]):
+            body = x[: len(x) - bool(broken)]
+            k = min(run, len(body))
+            places = _places(y, body[-k:]) if k else []
+            if places:
+                at = min(places, key=lambda i: abs(i - (len(body) - k))) + k
+                after = y[at:]
+                if not broken:
+                    rest = " ".join(after)
+                    break
+                if after and after[0].startswith(broken):
+                    rest = " ".join(after)[len(broken) :]
+                    break
+        if rest is None:
             return None
-        rest = " ".join(y[k.b + k.size :])[len(" ".join(tail)) :]
     if not rest.strip():
         return None
     return CUT if any(ch.isalnum() for ch in rest) else COMPLETE

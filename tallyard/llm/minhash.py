@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyard.operators.spread import spread
+
 SHINGLE, SIMILAR = 5, 0.8
 #: 12 bands of 4: a pair of similarity 0.8 meets in some band with probability 0.998.
 BANDS, ROWS = 12, 4
@@ -31,21 +33,40 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x and y else float(a == b)
 
 
+#: Beginnings of this many words are measured: a text of n words is compared over more than half of them.
+BEGINNINGS = tuple(6 * 2**i for i in range(40))
+#: 6 bands of 3 for each beginning: similarity 0.8 meets with probability 0.986, an exact beginning always.
+PREFIX_BANDS, PREFIX_ROWS = 6, 3
+
+
+def prefix_shingles(late: str, early: str) -> set[tuple[str, ...]]:
+    """The shingles of the beginning of ``late`` that is as long as ``early``, and of half a shingle set more for insertions."""
+    n = len(shingle_words(early))
+    w = shingle_words(late)[: n + n // 4 + SHINGLE]
+    return set(zip(*(w[i:] for i in range(SHINGLE)))) if len(w) >= SHINGLE else set()
+
+
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20240229))
     return rng.integers(1, 1 << 63, n, dtype="uint64") | np.uint64(1), rng.integers(0, 1 << 63, n, dtype="uint64")
 
 
-def signature(text: str, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    w = shingle_words(text)
-    if len(w) < SHINGLE:
-        return None
+def _hashes(w: list[str]) -> np.ndarray:
+    """A number for each shingle of at least five words, in order."""
     h = np.fromiter((crc32(x.encode()) for x in w), dtype="uint64", count=len(w))
     n = len(h) - SHINGLE + 1
     s = np.zeros(n, dtype="uint64")
     for i in range(SHINGLE):
         s = s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    s ^= s >> np.uint64(29)
+    return s ^ (s >> np.uint64(29))
+
+
+def signature(text: str, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    w = shingle_words(text)
+    if len(w) < SHINGLE:
+        return None
+    s = _hashes(w)
+    n = len(s)
     least = np.full(len(a), np.iinfo("uint64").max, dtype="uint64")
     for at in range(0, n, 4096):
         least = np.minimum(least, (s[at : at + 4096, None] * a + b).min(axis=0))
@@ -70,3 +91,35 @@ def band_keys(texts: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                 yield pd.DataFrame({"id": ids, "key": np.concatenate(out)})
 
     return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(keys, f"id {kind}, key bigint")
+
+
+def prefix_keys(texts: DataFrame) -> DataFrame:
+    """(tid, open, own, all) of ``texts`` (tid, text, open): band keys of the longest measured beginning, and of all of them.
+
+    Texts of fewer than six words have none. The minima run on from one beginning to the
+    next, so a text is hashed once however many beginnings it has.
+    """
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = _coefficients(PREFIX_BANDS * PREFIX_ROWS)
+        mix = np.arange(1, PREFIX_ROWS + 1, dtype="uint64") * np.uint64(0xC2B2AE3D27D4EB4F)
+        band = np.arange(PREFIX_BANDS, dtype="uint64")
+        for pdf in batches:
+            out = []
+            for tid, text, is_open in zip(pdf["tid"], pdf["text"], pdf["open"]):
+                w = shingle_words(text)
+                if len(w) < BEGINNINGS[0]:
+                    continue
+                s, least, at, every = _hashes(w), np.full(len(a), np.iinfo("uint64").max, dtype="uint64"), 0, []
+                for c in BEGINNINGS:
+                    if c > len(w):
+                        break
+                    for lo in range(at, c - SHINGLE + 1, 4096):
+                        least = np.minimum(least, (s[lo : min(lo + 4096, c - SHINGLE + 1), None] * a + b).min(axis=0))
+                    at = c - SHINGLE + 1
+                    k = (least.reshape(PREFIX_BANDS, PREFIX_ROWS) * mix).sum(axis=1, dtype="uint64") * np.uint64(31) + band + np.uint64(c) * np.uint64(0x9E3779B97F4A7C15)
+                    every.append(k.view("int64"))
+                out.append((tid, is_open, every[-1], np.concatenate(every)))
+            yield pd.DataFrame(out, columns=["tid", "open", "own", "all"])
+
+    return spread(texts, "tid").mapInPandas(keys, "tid string, open boolean, own array<bigint>, all array<bigint>")

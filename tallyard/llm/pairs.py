@@ -100,7 +100,7 @@ def _echo(question: pd.Series, answer: pd.Series) -> pd.Series:
 
 def cut_answers(choices: DataFrame) -> DataFrame:
     """``choices`` (with question and content) with ``is_cut``; an answer that repeats its whole question is complete, even without the final mark."""
-    ended = truncation.endings_of(choices)
+    ended = truncation.endings_of(choices, signs_col="signs" if "signs" in choices.columns else None)
     cut = F.col("is_cut")
     echo = _echo(F.when(cut, F.col("question")), F.when(cut, F.col("content")))  # only cut ones travel to Python
     return ended.withColumn("is_cut", F.when(cut, ~echo).otherwise(cut))
@@ -149,7 +149,7 @@ def defects(raw: DataFrame) -> DataFrame:
     templates = refusal_templates(materialise(openings, "openings")).withColumn("template", F.lit(True))
     pairs = pairs.join(templates, "oid", "left").withColumn("template", F.coalesce("template", F.lit(False)))
     pairs = pairs.withColumn("defect", F.when(F.col("asked"), _defect("question", "content", "refusal", "finish_reason", "template")))
-    pairs = materialise(pairs.select("record_id", "choice_index", "question", "content", "asked", "defect"), "pairs")
+    pairs = materialise(pairs.select("record_id", "choice_index", "question", "content", "signs", "asked", "defect"), "pairs")
     ended = cut_answers(pairs)  # over all contents, as in the report of cut texts
     defect = F.coalesce("defect", F.when(F.col("is_cut"), F.lit("truncated")))
     return ended.where("asked").select("record_id", "choice_index", defect.alias("defect")).where("defect is not null")

@@ -25,14 +25,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Choices whose content breaks off."""
     ship(spark)
-    choices = truncation.choices(_raw(spark, sf_dir)).select("record_id", "choice_index", "question", "content")
+    choices = truncation.choices(_raw(spark, sf_dir)).select("record_id", "choice_index", "question", "content", "signs")
     return pairs.cut_answers(choices).where("is_cut").select("record_id", "choice_index")
 
 
 def p5_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each provider's contents are cut; spellings of a provider differ in case and blanks only."""
     ship(spark)
-    cut = pairs.cut_answers(truncation.choices(_raw(spark, sf_dir)).select("provider", "question", "content"))
+    cut = pairs.cut_answers(truncation.choices(_raw(spark, sf_dir)).select("provider", "question", "content", "signs"))
     return truncation.by_source(cut.withColumn("provider", F.lower(F.trim("provider"))))
 
 
