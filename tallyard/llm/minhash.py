@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyard.durable import materialise
 from tallyard.operators.spread import spread
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -103,7 +104,7 @@ def prefix_keys(texts: DataFrame) -> DataFrame:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _coefficients(PREFIX_BANDS * PREFIX_ROWS)
         mix = np.arange(1, PREFIX_ROWS + 1, dtype="uint64") * np.uint64(0xC2B2AE3D27D4EB4F)
-        band = np.arange(PREFIX_BANDS, dtype="uint64")
+        marks = [np.arange(PREFIX_BANDS, dtype="uint64") + np.array(c % (1 << 63), dtype="uint64") * np.array([0x9E3779B97F4A7C15], dtype="uint64") for c in BEGINNINGS]
         for pdf in batches:
             out = []
             for tid, text, is_open in zip(pdf["tid"], pdf["text"], pdf["open"]):
@@ -111,15 +112,64 @@ def prefix_keys(texts: DataFrame) -> DataFrame:
                 if len(w) < BEGINNINGS[0]:
                     continue
                 s, least, at, every = _hashes(w), np.full(len(a), np.iinfo("uint64").max, dtype="uint64"), 0, []
-                for c in BEGINNINGS:
+                for c, mark in zip(BEGINNINGS, marks):
                     if c > len(w):
                         break
                     for lo in range(at, c - SHINGLE + 1, 4096):
                         least = np.minimum(least, (s[lo : min(lo + 4096, c - SHINGLE + 1), None] * a + b).min(axis=0))
                     at = c - SHINGLE + 1
-                    k = (least.reshape(PREFIX_BANDS, PREFIX_ROWS) * mix).sum(axis=1, dtype="uint64") * np.uint64(31) + band + np.uint64(c) * np.uint64(0x9E3779B97F4A7C15)
+                    k = (least.reshape(PREFIX_BANDS, PREFIX_ROWS) * mix).sum(axis=1, dtype="uint64") * np.uint64(31) + mark
                     every.append(k.view("int64"))
                 out.append((tid, is_open, every[-1], np.concatenate(every)))
             yield pd.DataFrame(out, columns=["tid", "open", "own", "all"])
 
     return spread(texts, "tid").mapInPandas(keys, "tid string, open boolean, own array<bigint>, all array<bigint>")
+
+
+#: Members of a band that meet in a task; larger bands are split into blocks of pairs of parts.
+PART = 1024
+
+
+def verified_links(texts: DataFrame, id_col: str, text_col: str, part: int = PART) -> DataFrame:
+    """(a, b): links between ids (strings) of distinct texts that span all pairs of similarity 0.8 or more.
+
+    All members of a band are compared with each other, parts of ``part`` members by parts,
+    unless links found before connect them already; a task writes a forest and never pairs.
+    """
+    keys = materialise(band_keys(texts, id_col, text_col), "bands")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")
+    m = keys.join(sizes, "key").select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    m = m.select("key", "id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+    m = m.join(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held, root = None, [], {}
+
+        def find(x: str) -> str:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for pdf in batches:
+            out = []
+            for key, lo, hi, own_, i, text in zip(pdf["key"], pdf["lo"], pdf["hi"], pdf["own"], pdf["id"], pdf["text"]):
+                if (key, lo, hi) != group:
+                    group, held, root = (key, lo, hi), [], {}
+                grams = shingles(text)
+                root[i] = i
+                for own_2, i2, grams2 in held:
+                    if lo != hi and own_2 == own_:  # these meet in the block of their own part
+                        continue
+                    small, large = sorted((len(grams), len(grams2)))
+                    if small < SIMILAR * large or find(i) == find(i2):
+                        continue
+                    common = len(grams & grams2)
+                    if common >= SIMILAR * (small + large - common):
+                        root[find(i)] = find(i2)
+                        out.append((i, i2))
+                held.append((own_, i, grams))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    order = ("key", "lo", "hi")
+    return m.repartition(*order).sortWithinPartitions(*order, "own").select(*order, "own", "id", "text").mapInPandas(links, "a string, b string").distinct()

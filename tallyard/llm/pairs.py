@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -12,12 +13,12 @@ from pyspark.sql import types as T
 from tallyard.durable import materialise
 from tallyard.llm import truncation
 from tallyard.llm.language import language, requested
-from tallyard.llm.minhash import SIMILAR, band_keys, jaccard
+from tallyard.llm.minhash import SHINGLE, shingle_words, verified_links
 from tallyard.llm.splits import components
 
 #: Ways of declining, per language; read in the opening only. Fixed values.
 _DECLINE = re.compile(
-    r"\b(?:i|we)(?:\s+(?:really|simply|just))?\s+(?:can\s?no[tn]|can['’]t|could\s?not|am\s+(?:not\s+able|unable)|(?:wo|ca)n['’]t\s+be\s+able|will\s+not\s+be\s+able|won['’]t|will\s+not|do\s+not\s+feel\s+comfortable|don['’]t\s+feel\s+comfortable|am\s+not\s+comfortable)\b(?!\s+(?:say|tell)\s+(?:who|how|why))"
+    r"\b(?:i|we)(?:\s+(?:really|simply|just))?\s+(?:can\s?no[tn]|can['’]t|could\s?not|am\s+(?:not\s+able|unable)|(?:wo|ca)n['’]t\s+be\s+able|will\s+not\s+be\s+able|won['’]t|will\s+not|do\s+not\s+feel\s+comfortable|don['’]t\s+feel\s+comfortable|am\s+not\s+comfortable)\b(?!\s+(?:say|tell|explain|see|imagine)\s+(?:who|how|what|where|when|why|whether)|\s+(?:believe|forget|wait|help\s+(?:but|feeling|thinking|noticing|myself)|remember|recall|imagine|sleep|stop|see|hear|blame|complain|deny|stress|miss|go\s+wrong)\b)"
     r"|\bi\s+(?:must|have\s+to|need\s+to)\s+(?:decline|refuse|pass)\b|\bi\s+(?:decline|refuse)\b|\bi(?:['’]d|\s+would)\s+(?:rather|prefer)\s+not\b|\bi\s+choose\s+not\s+to\b"
     r"|\b(?:my|our)\s+(?:guidelines|rules|policy|policies|instructions)\s+(?:rule|do|don|for|prevent|prohibit|forbid)|\bno\s+answer\s+can\s+be\s+given\b|\bnot\s+something\s+i\s+(?:can|will|am)\b"
     r"|\boutside\s+(?:of\s+)?what\s+i\s+(?:can|may)\b|\bis\s+where\s+i\s+stop\b|\bnot\s+one\s+i\s+will\b|\bi\s+am\s+going\s+to\s+leave\b.{0,60}\bunanswered\b|\bi['’]m\s+going\s+to\s+leave\b.{0,60}\bunanswered\b|\bi['’]m\s+(?:unable|not\s+able|not\s+comfortable)\b"
@@ -27,15 +28,27 @@ _DECLINE = re.compile(
     re.I,
 )
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_CLAUSE = re.compile(r"[,;:.!?…]+(?:\s+|$)|\s+[-–—]+\s+|\s+(?=(?:because|but|and i|weil|aber|porque|pero|parce que|mais)\b)|[\"“”«»()\[\]]+")
 _LABEL = re.compile(r"^\W*(?:(?:question|prompt|task|user|q|frage|aufgabe|pregunta|tarea|question posée|tâche|you asked|the question)\s*[:\-–—]\s*)", re.I)
 
 
 def opening(text: str | None) -> str:
-    """The first sentence, with the next one where it has fewer than three words."""
+    """The first sentence; with the second where the first has fewer than three words, or is polite and says nothing."""
     parts = [p for p in _SENTENCE.split((text or "").strip()) if p.strip()][:2]
     if not parts:
         return ""
-    return parts[0] if len(parts[0].split()) >= 3 or len(parts) == 1 else " ".join(parts)
+    words = parts[0].split()
+    return parts[0] if len(parts) == 1 or (len(words) >= 3 and not _POLITE.match(parts[0])) else " ".join(parts)
+
+
+#: Polite first sentences, which a refusal may follow. Fixed values.
+_POLITE = re.compile(r"(?:thank(?:s| you)|(?:i(?:['’]m| am) )?(?:so )?sorry|i apologi[sz]e|i (?:understand|appreciate)|good question|great question|danke|vielen dank|(?:es )?tut mir leid|entschuldig|gracias|lo siento|merci|je suis désolée?|désolée?)\b", re.I)
+
+
+def clauses(text: str | None) -> list[str]:
+    """The distinct clauses of an opening, as words in lower case."""
+    found = (" ".join(shingle_words(x)) for x in _CLAUSE.split(opening(text).lower()))
+    return list(dict.fromkeys(x for x in found if x))
 
 
 def declines(text: str | None) -> bool:
@@ -106,34 +119,69 @@ def cut_answers(choices: DataFrame) -> DataFrame:
     return ended.withColumn("is_cut", F.when(cut, ~echo).otherwise(cut))
 
 
-@F.pandas_udf(T.StructType([T.StructField("opening", T.StringType()), T.StructField("declines", T.BooleanType())]))
+_OPENING = T.StructType([T.StructField("clauses", T.ArrayType(T.StringType())), T.StructField("declines", T.BooleanType()), T.StructField("size", T.StringType())])
+
+
+@F.pandas_udf(_OPENING)
 def _opening(answer: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"opening": [" ".join(opening(a).lower().split()) for a in answer], "declines": [declines(a) for a in answer]})
+    size = lambda n: next((k for k, most in (("a", 6), ("b", 15), ("c", 30), ("d", 60)) if n <= most), "e")
+    return pd.DataFrame({"clauses": [clauses(a) for a in answer], "declines": [declines(a) for a in answer], "size": [size(len((a or "").split())) for a in answer]})
 
 
-@F.pandas_udf(T.BooleanType())
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaccard(x, y) >= SIMILAR for x, y in zip(a, b)])
+def clause_classes(seen: DataFrame) -> DataFrame:
+    """(clause, cls) of distinct clauses: near-copies, by verified MinHash, are of one class; one too short for shingles is its own."""
+    ids = materialise(seen.select("clause").distinct().withColumn("cid", F.md5("clause")), "clauses")
+    long = ids.where(F.size(F.split("clause", " ")) >= SHINGLE)
+    classes = components(verified_links(long, "cid", "clause"))
+    return ids.join(classes, F.col("cid") == F.col("vertex"), "left").select("clause", F.coalesce("root", "cid").alias("cls"))
 
 
-def refusal_templates(openings: DataFrame) -> DataFrame:
-    """(oid) of openings that decline.
+def refusals(openings: DataFrame, rounds: int = 2) -> DataFrame:
+    """(oid, by): openings that decline, and whether their templates show it ('template') or their own words only ('wording').
 
-    ``openings``: oid, opening, declines, lo, hi (least and greatest hash of the
-    prompts it answers). Openings are clustered by verified MinHash, each bucket as a star
-    around its least member; a cluster that recurs over different prompts and has a member
-    that declines makes all its members refusals. An opening too short or too rare for a
-    cluster is judged by itself.
+    ``openings``: oid, clauses, size, n (answers), seeds (those of them known to refuse, by
+    the call's own report or by their wording), declines, lo, hi (least and greatest hash of
+    their questions). Clauses are clustered; a class that recurs over different questions
+    is a template, and weighs by how often its answers refuse against how often other
+    answers have it. The answer's length weighs in the same way. Openings above even odds
+    refuse, and count as such in the next round, so that templates reveal wordings no list
+    holds. An opening none of whose clauses recurs, or whose templates don't speak against
+    it, is left to its wording.
     """
-    keys = materialise(band_keys(openings, "oid", "opening"), "bands").withColumnRenamed("id", "oid")
-    stars = keys.groupBy("key").agg(F.min("oid").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = keys.join(stars, "key").where("oid <> center").select("oid", "center").distinct()
-    text = openings.select("oid", "opening")
-    links = links.join(text, "oid").join(text.select(F.col("oid").alias("center"), F.col("opening").alias("other")), "center").where(_similar("opening", "other"))
-    classes = components(links.select(F.col("oid").alias("a"), F.col("center").alias("b")))
-    member = openings.join(classes, F.col("oid") == F.col("vertex"), "left").withColumn("cls", F.coalesce("root", "oid"))
-    template = member.groupBy("cls").agg(F.max("declines").alias("d"), (F.min("lo") < F.max("hi")).alias("recurs")).where("d and recurs").select("cls")
-    return member.join(template, "cls", "left_semi").select("oid").union(openings.where("declines").select("oid")).distinct()
+    spread_out = openings.select("oid", "n", "size", "lo", "hi", F.explode("clauses").alias("clause"))
+    member = materialise(spread_out.join(clause_classes(spread_out), "clause").select("oid", "cls").distinct(), "members")
+    known = openings.select("oid", "n", "size", "lo", "hi", "seeds", "declines")
+    scored = known.withColumns({"k": F.col("seeds"), "score": F.lit(None).cast("double"), "templates": F.lit(0.0)})
+    for _ in range(rounds):
+        total = scored.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+        all_n, all_k = float(total["n"] or 0), float(total["k"] or 0)
+        base = (all_k + 0.5) / (all_n + 1)  # a class seen little weighs little: its rate is drawn to this one
+        rate = (F.sum("k") + base) / (F.sum("n") + 1)
+        weight = F.log(rate / (1 - rate)) - math.log(base / (1 - base))
+        by_class = member.join(scored.select("oid", "n", "k", "lo", "hi"), "oid").groupBy("cls").agg(weight.alias("w"), (F.min("lo") < F.max("hi")).alias("recurs")).where("recurs")
+        by_size = scored.groupBy("size").agg(weight.alias("size_w"))  # five rows
+        sums = member.join(by_class, "cls").groupBy("oid").agg(F.sum("w").alias("templates"))
+        prior = F.lit(math.log(base / (1 - base)))
+        scored = known.join(sums, "oid", "left").join(F.broadcast(by_size), "size").withColumn("score", prior + F.col("size_w") + F.col("templates"))
+        scored = scored.withColumn("k", F.when((F.col("score") > 0) | (F.col("declines") & ~F.coalesce(F.col("templates") < 0, F.lit(False))), F.col("n")).otherwise(F.col("seeds")))
+        scored = materialise(scored, "scored")
+    by = F.when(F.col("score") > 0, "template").when(F.col("declines") & ~F.coalesce(F.col("templates") < 0, F.lit(False)), "wording")
+    return scored.select("oid", by.alias("by")).where("by is not null")
+
+
+def openings_of(pairs: DataFrame) -> DataFrame:
+    """Distinct openings of answers to questions, and of the calls' own refusals, with what ``refusals`` needs."""
+    reported = (F.col("finish_reason") == "content_filter") | F.col("refusal").rlike(r"[\p{L}\p{N}]")
+    asked = F.xxhash64("question")
+    answers = pairs.where("asked").select("oid", "o", asked.alias("q"), F.coalesce(reported, F.lit(False)).alias("reported"))
+    own = pairs.where(F.col("asked") & F.col("refusal").isNotNull()).select(_opening("refusal").alias("o"), asked.alias("q"))
+    own = own.select(F.md5(F.concat_ws("|", "o.size", F.array_join("o.clauses", "|"))).alias("oid"), "o", "q", F.lit(True).alias("reported"))
+    rows = answers.unionByName(own).where(F.size("o.clauses") > 0)
+    declines = F.max("o.declines")
+    n = F.count(F.lit(1))
+    return rows.groupBy("oid").agg(
+        F.first("o.clauses").alias("clauses"), F.first("o.size").alias("size"), declines.alias("declines"), n.alias("n"), F.when(declines, n).otherwise(F.sum(F.col("reported").cast("int"))).alias("seeds"), F.min("q").alias("lo"), F.max("q").alias("hi")
+    )
 
 
 def defects(raw: DataFrame) -> DataFrame:
@@ -143,10 +191,8 @@ def defects(raw: DataFrame) -> DataFrame:
     language can apply. Null and empty answers are 'empty' unless refused.
     """
     pairs = truncation.choices(raw).withColumn("o", _opening("content"))
-    pairs = pairs.withColumn("oid", F.md5(F.col("o.opening")))
-    asked = F.xxhash64("question")
-    openings = pairs.where("asked").where(F.length("o.opening") > 0).groupBy("oid").agg(F.first("o.opening").alias("opening"), F.max("o.declines").alias("declines"), F.min(asked).alias("lo"), F.max(asked).alias("hi"))
-    templates = refusal_templates(materialise(openings, "openings")).withColumn("template", F.lit(True))
+    pairs = materialise(pairs.withColumn("oid", F.md5(F.concat_ws("|", "o.size", F.array_join("o.clauses", "|")))), "choices")
+    templates = refusals(materialise(openings_of(pairs), "openings")).select("oid", F.lit(True).alias("template"))
     pairs = pairs.join(templates, "oid", "left").withColumn("template", F.coalesce("template", F.lit(False)))
     pairs = pairs.withColumn("defect", F.when(F.col("asked"), _defect("question", "content", "refusal", "finish_reason", "template")))
     pairs = materialise(pairs.select("record_id", "choice_index", "question", "content", "signs", "asked", "defect"), "pairs")

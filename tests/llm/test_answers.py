@@ -120,6 +120,96 @@ def test_declining(answer, yes):
     assert pairs.declines(answer) is yes
 
 
+def test_statements_that_only_look_like_refusals():
+    assert not pairs.declines("I can't believe how far the lamp shone.") and not pairs.declines("I won't forget that winter.") and not pairs.declines("I cannot explain why the mill stood.")
+    assert pairs.declines("Thank you for the question. I cannot help with that.")
+    assert pairs.clauses("I'm sorry, but I cannot help with that because it is late.") == ["i'm sorry", "but i cannot help with that", "because it is late"]
+
+
+def test_templates_reveal_refusals_no_list_holds(spark):
+    rng = random.Random(5)
+    nouns = "lamp mill road tower ledger garden river boat clerk window".split()
+
+    def story(i):
+        a, b, c = rng.sample(nouns, 3)
+        return f"The {a} of year {i} stood by the {b}, and nobody mended the {c} before the morning of day {rng.randint(1, 999)}."
+
+    answers = [story(i) for i in range(300)]
+    answers += [f"{lead}, I must decline. Please ask me something else." for lead in ("After some thought", "With respect", "I'm sorry") * 6]
+    answers += [f"{lead}, that request falls beyond my remit." for lead in ("After some thought", "With respect", "I'm sorry") * 3]
+    answers += ["I can't believe how far the lamp shone. " + story(1000), "Yes, it did.", *["Yes."] * 40]
+    ask = [("system", "be brief")]
+    rows = [(i, [*ask, ("user", f"Question {i} about the {nouns[i % 10]}, please answer it in full.")], (f"r{i}", "p", [(0, "stop", ("assistant", a, None, None))]), None, None) for i, a in enumerate(answers)]
+    got = {r["record_id"]: r["defect"] for r in pairs.defects(spark.createDataFrame(rows, RAW)).collect()}
+    want = {i for i, a in enumerate(answers) if "decline" in a or "remit" in a}
+    assert {i for i, d in got.items() if d == "refusal"} == want
+
+
+def test_links_of_a_band_span_all_its_similar_texts(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(8):
+        words = [rng.choice(vocab) for _ in range(60)]
+        for k in range(12):  # a chain: neighbours are similar, ends are not
+            words = list(words)
+            words[(7 * k) % 60] = f"new{g}x{k}"
+            rows.append((f"{g:02d}-{k:02d}", " ".join(words)))
+    texts = spark.createDataFrame(rows, "id string, text string")
+    for part in (1024, 3):
+        root = {i: i for i, _ in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in minhash.verified_links(texts, "id", "text", part).collect():
+            root[find(r["a"])] = find(r["b"])
+        whole = {i: i for i, _ in rows}
+
+        def top(x):
+            while whole[x] != x:
+                x = whole[x]
+            return x
+
+        for i, t in rows:
+            for j, u in rows:
+                if i < j and minhash.jaccard(t, u) >= 0.8:
+                    whole[top(i)] = top(j)
+        same = lambda f: {frozenset(k for k, _ in rows if f(k) == f(i)) for i, _ in rows}
+        assert sum(g in same(find) for g in same(top)) >= 7
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_cut_copies_of_any_length_are_found(spark, block):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, want = [], {}
+    for i in range(60):
+        words = [rng.choice(vocab) for _ in range(rng.randint(60, 400))]
+        rows.append((f"f{i}", " ".join(words) + ".", False))
+        for share in (0.2, 0.4, 0.6, 0.8, 0.95):
+            early = list(words[: int(len(words) * share)])
+            if i % 2 and len(early) > 40:
+                early[3] = "edited"
+            rows.append((f"c{i}-{share}", " ".join(early), True))
+            want[f"c{i}-{share}"] = "cut"
+    rows += [(f"o{i}", " ".join(rng.choice(vocab) for _ in range(80)), True) for i in range(20)] + [("short", "too short", True)]
+    got = {r["tid"]: r["verdict"] for r in truncation.near_copies(spark.createDataFrame(rows, "tid string, text string, open boolean"), block).collect()}
+    assert not [k for k in got if k[0] in "os"]
+    assert sum(got.get(k) == v for k, v in want.items()) >= 0.97 * len(want)
+
+
+def test_signs_speak_for_texts_that_structure_leaves_open(spark):
+    rows = [(f"a{i}", f"Whole text number {i} ends here.", ["r:done/done"]) for i in range(60)] + [(f"b{i}", f"Cut text number {i} ends, and", ["r:limit/limit"]) for i in range(0)]
+    rows += [(f"m{i}", f"Cut text number {i} ends [...]", ["r:limit/limit"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, content string, signs array<string>")
+    judged = df.select("content", "signs", truncation._ending("content").alias("e")).select("signs", "e.state")
+    w = truncation.sign_weights(judged)
+    assert w["r:limit/limit"] > 1 and w["r:done/done"] < -1
+
+
 RAW = "record_id bigint, messages array<struct<role:string,content:string>>, response struct<id:string, provider:string, choices:array<struct<index:int,finish_reason:string,message:struct<role:string,content:string,refusal:string,reasoning:string>>>>, content string, defect string"
 
 
