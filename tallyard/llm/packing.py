@@ -87,7 +87,7 @@ def _packer(capacity: int, level: int, release: int, last: bool):
     return lambda pdf: _pack_group(pdf, capacity, level, release, last)
 
 
-def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = 1024, per_partition: int = 40_000, fan_in: int = 8) -> DataFrame:
+def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = 1024, per_partition: int = 8_192, fan_in: int = 8) -> DataFrame:
     """Containers of all items: id, piece_no, first_token, n_tokens, container_id.
 
     An item no longer than ``capacity`` is whole in one container. A longer one is cut

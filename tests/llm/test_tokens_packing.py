@@ -41,6 +41,21 @@ def test_encoding_equals_the_tokenizer(spark, block_bytes):
     assert counts == got
 
 
+def test_no_task_has_a_frequent_word_to_itself(spark):
+    rows = [(i, f"the same words stand here, and number{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    documents, held = tokens.split(df, "doc_id", "text", 64)
+    known = tokens.encoded_words(held, f"{tokens.TOKENIZERS}/byte_bpe_50k.json", lengths=False)
+    assert known.count() == known.select("word").distinct().count() == held.select("word").distinct().count()
+    assert held.groupBy("word").count().agg(F.max("count")).first()[0] > 100  # a word in most blocks
+    plan = tokens.returned(held, known, hot_words=50, hot_rows=10)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
+    enc = direct()
+    table = tokens.returned(held, known, hot_words=50, hot_rows=10)
+    for r in tokens._reassembled(documents, table, df.schema["doc_id"].dataType, False).collect():
+        assert list(r["ids"]) == enc(rows[r["id"]][1])
+
+
 def test_decoding_is_the_inverse(spark):
     back = {r["doc_id"]: r["text"] for r in tokens.decode(tokens.encode(docs(spark))).collect()}
     for i, t in enumerate(TEXTS):
