@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,35 +40,37 @@ def p2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.select(F.lit("archive").alias("state"), "files", "records").unionByName(after.select(F.lit("containers").alias("state"), "files", "records"))
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "raw_responses", "record_id", "response")
+def _nested(spark: SparkSession, sf_dir: str, columns: dict[str, list[str]]) -> DataFrame:
+    """Archived responses with nothing but the named paths, and what names their nodes."""
+    full = table(spark, sf_dir, "raw_responses", "record_id", "response").schema
+    return spark.read.schema(flatten.skeleton(full, ["record_id"], ORDINALS, columns)).parquet(f"{sf_dir}/raw_responses.parquet")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per node of every archived response, from the keys of the flat tables."""
-    df = _nested(spark, sf_dir)
-    none = F.lit(-1)
-    parts = []
-    for kind, path in (("response", flatten.ROOT), ("choice", CHOICES), ("token", TOKENS), ("alternative", ALTERNATIVES)):
-        t = flatten.unnest(df, ["record_id"], path, ORDINALS, columns=[])
-        at = [F.col(f"`{c}`") for c in t.columns[1:]] + [none] * 3
-        parts.append(t.select(F.lit(kind).alias("node_kind"), "record_id", at[0].cast("int").alias("choice_index"), at[1].cast("int").alias("token_index"), at[2].cast("int").alias("alt_index")))
-    return reduce(DataFrame.unionByName, parts)
+    """One row per node of every archived response; all groups come from one pass."""
+    kinds = {flatten.ROOT: "response", CHOICES: "choice", TOKENS: "token", ALTERNATIVES: "alternative"}
+    n = flatten.nodes(_nested(spark, sf_dir, {}), ["record_id"], ORDINALS, set(kinds), {})
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("group"))
+    at = [F.coalesce(F.get("ordinals", F.lit(i)), F.lit(-1)).alias(c) for i, c in enumerate(("choice_index", "token_index", "alt_index"))]
+    return n.select(kind.alias("node_kind"), F.col("k0").alias("record_id"), *at)
 
 
 def p3_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of responses; provider and total_tokens stand here once."""
-    t = flatten.unnest(_nested(spark, sf_dir), ["record_id"], flatten.ROOT)
+    held = ["response__id", "response__model", "response__provider", "response__usage__completion_tokens", "response__usage__total_tokens"]
+    t = flatten.unnest(_nested(spark, sf_dir, {flatten.ROOT: held}), ["record_id"], flatten.ROOT, columns=held)
     return t.select("record_id", F.col("response__id").alias("response_id"), F.col("response__model").alias("model"), F.col("response__provider").alias("provider"), F.col("response__usage__completion_tokens").alias("completion_tokens"), F.col("response__usage__total_tokens").alias("total_tokens"))
 
 
 def p3_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = flatten.unnest(_nested(spark, sf_dir), ["record_id"], CHOICES, ORDINALS)
+    held = ["finish_reason", "native_finish_reason", "message__content"]
+    t = flatten.unnest(_nested(spark, sf_dir, {CHOICES: held}), ["record_id"], CHOICES, ORDINALS, held)
     return t.select("record_id", F.col(f"`{CHOICES}#`").alias("choice_index"), "finish_reason", "native_finish_reason", F.col("message__content").alias("content"))
 
 
 def p3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = flatten.unnest(_nested(spark, sf_dir), ["record_id"], TOKENS, ORDINALS)
+    held = ["token", "logprob"]
+    t = flatten.unnest(_nested(spark, sf_dir, {TOKENS: held}), ["record_id"], TOKENS, ORDINALS, held)
     return t.select("record_id", F.col(f"`{CHOICES}#`").alias("choice_index"), F.col(f"`{TOKENS}#`").alias("token_index"), "token", F.round("logprob", 6).alias("logprob"))
 
 
