@@ -23,7 +23,7 @@ from tallyard.durable import fresh_path, materialise
 from tallyard.functions.spans import object_spans
 from tallyard.operators.delivery import keep_one
 
-SEPARATOR, ESCAPE = "\x1e", "\x1b"
+SEPARATOR, ESCAPE, HEADER = "\x1e", "\x1b", "\x1f"
 
 
 def _stuff(c: Column) -> Column:
@@ -43,26 +43,39 @@ def _fingerprint(payload: Column) -> list[Column]:
     ]
 
 
-def compact(files: DataFrame, body: str = "body", target_bytes: int = 128 << 20, path: str | None = None) -> tuple[DataFrame, str]:
+def compact(files: DataFrame, body: str = "body", target_bytes: int = 128 << 20, path: str | None = None, name: str | None = None) -> tuple[DataFrame, str]:
     """Write all bodies of ``files`` into files of about ``target_bytes`` and return (their records, path).
 
-    The records have one column, ``payload``, one row per non-null body. Null bodies
+    The records have a column ``payload``, one row per non-null body. Null bodies
     hold no bytes and are left out; empty ones stay as empty records; repeated bodies
-    stay repeated. Raises if lengths or checksums of the written files differ from
-    those of the input.
+    stay repeated. With ``name`` every record is headed by that column of its file, and
+    the records have a column ``name`` too, so that each leads back to where it came from
+    (a null name becomes an empty one). Raises if lengths or checksums of the written files
+    differ from those of the input.
     """
     spark = files.sparkSession
     path = path or fresh_path(spark, "containers")
     payload = F.regexp_replace(F.col(f"`{body}`"), "^\\uFEFF", "")
-    bodies = files.select(_stuff(payload).alias("value")).where("value is not null")
+    value = _stuff(payload)
+    if name is not None:
+        head = F.replace(_stuff(F.coalesce(F.col(f"`{name}`"), F.lit(""))), F.lit(HEADER), F.lit(ESCAPE + "U"))
+        value = F.concat(head, F.lit(HEADER), value)
+    bodies = files.select(value.alias("value")).where("value is not null")
     before = bodies.select(*_fingerprint(F.col("value"))).first()
     want = max(1, ceil(int(before["bytes"] or 0) / target_bytes))
-    bodies.coalesce(want).write.option("lineSep", SEPARATOR).text(path)
+    # fewer files than tasks: whole partitions are merged; more files than tasks, as of packed input: rows are spread by hash
+    sized = bodies.coalesce(want) if want <= bodies.rdd.getNumPartitions() else bodies.repartition(want, F.xxhash64("value"))
+    sized.write.option("lineSep", SEPARATOR).text(path)
     written = spark.read.option("lineSep", SEPARATOR).text(path)
     after = written.select(*_fingerprint(F.col("value"))).first()
     if before != after:
         raise ValueError(f"containers differ from their sources: {before} and {after}")
-    return written.select(_unstuff(F.col("value")).alias("payload")), path
+    if name is None:
+        return written.select(_unstuff(F.col("value")).alias("payload")), path
+    cut = F.instr("value", HEADER)
+    head, rest = F.expr("substring(value, 1, cut - 1)"), F.expr("substring(value, cut + 1)")
+    split = written.withColumn("cut", cut)
+    return split.select(_unstuff(F.replace(head, F.lit(ESCAPE + "U"), F.lit(HEADER))).alias("name"), _unstuff(rest).alias("payload")), path
 
 
 def _walk(value: object) -> Iterator[tuple[str, str]]:

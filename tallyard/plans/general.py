@@ -30,6 +30,14 @@ def p2_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.write_calls(records)[0]
 
 
+def p2_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every archived file as its container holds it: its bytes, and whether they are as many as the archive says."""
+    records, _ = compaction.compact(table(spark, sf_dir, "raw_files", "file_path", "body"), name="file_path")
+    stored = table(spark, sf_dir, "raw_files", "file_path", "n_bytes")
+    held = records.select(F.col("name").alias("file_path"), F.octet_length("payload").cast("bigint").alias("held_bytes"))
+    return stored.join(held, "file_path", "left").select("file_path", "n_bytes", "held_bytes", (F.col("n_bytes") == F.col("held_bytes")).cast("int").alias("as_stated"))
+
+
 def p2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive before and after: files, records and bytes."""
     files = table(spark, sf_dir, "raw_files", "body")
@@ -92,10 +100,11 @@ _EACH = "(select record_id, unnest(response.choices) c, generate_subscripts(resp
 _TOKEN = f"(select record_id, {_CHOICE} ci, unnest(c.logprobs.content) t, generate_subscripts(c.logprobs.content, 1) - 1 tp from {_EACH}) v"
 _KEPT = "(select *, row_number() over (partition by cond, item_id order by coalesce(ok, false) desc, record_no desc) rn from panel_records)"
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_calls, p2_compaction, p3_found, p3_responses, p3_choices, p3_tokens, p4_found, p4_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_calls, p2_index, p2_compaction, p3_found, p3_responses, p3_choices, p3_tokens, p4_found, p4_kept)}
 
 SQL = {
-    "p2_compaction": "select 'archive' as state, count(*) as files, count(body) as records from raw_files union all select 'containers', 1, count(body) from raw_files",
+    "p2_index": "select file_path, n_bytes, octet_length(encode(regexp_replace(body, '^\\x{FEFF}', '')))::bigint as held_bytes, (n_bytes = octet_length(encode(regexp_replace(body, '^\\x{FEFF}', ''))))::int as as_stated from raw_files",
+    "p2_compaction": "select 'archive' as state, count(*) as files, count(body) as records from raw_files union all select 'containers', greatest(1, ceil(sum(octet_length(encode(body))) / 134217728))::bigint, count(body) from raw_files",
     "p3_found": f"""
         select 'response' as node_kind, record_id, -1 as choice_index, -1 as token_index, -1 as alt_index from raw_responses
         union all select 'choice', record_id, {_CHOICE}, -1, -1 from {_EACH}
