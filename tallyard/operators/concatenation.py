@@ -83,7 +83,7 @@ def concatenate(spark: SparkSession, source: str, target: str, kind: str = "line
                 out.close()
                 name = f"{root}/part-{current:06d}"
                 sink.move(temporary, name)
-                with sink.open_input_stream(name) as back:
+                with sink.open_input_stream(name, compression=None) as back:
                     seen = size = 0
                     while piece := back.read(CHUNK):
                         seen, size = crc32(piece, seen), size + len(piece)
@@ -98,9 +98,9 @@ def concatenate(spark: SparkSession, source: str, target: str, kind: str = "line
                 if grp != current:
                     yield from close()
                     current, at, total, temporary = grp, 0, 0, f"{root}/.{uuid4().hex}"
-                    out = sink.open_output_stream(temporary)
+                    out = sink.open_output_stream(temporary, compression=None)
                 origin, inner = fs.FileSystem.from_uri(path)
-                with origin.open_input_stream(inner) as h:
+                with origin.open_input_stream(inner, compression=None) as h:
                     data = h.read()
                 if kind == "zstd" and frames_end(data) != len(data):
                     raise ValueError(f"{path} ends inside a frame")
