@@ -68,24 +68,38 @@ _AT = re.compile(r"@|[\[({](?:at|AT)[\])}]| AT | at (?=[\w-]+ dot )")
 
 
 def _addresses(text: str) -> Iterator[re.Match]:
+    """Matches of both orders; a name before its number is read from the number before it, however far back that is."""
     yield from _STREET_NUMBER_FIRST.finditer(text)
-    done = 0
+    done = before = 0
     for hit in _NAME_THEN_NUMBER.finditer(text):
-        for m in _STREET_NAME_FIRST.finditer(text, max(done, hit.start() - 90), min(len(text), hit.end() + 3)):
+        for m in _STREET_NAME_FIRST.finditer(text, max(done, min(before, hit.start() - 90), 0), min(len(text), hit.end() + 3)):
             done = m.end()
             yield m
+        before = hit.end()
+
+
+#: The rest of an address after its sign: a run without blanks, and what spelled-out dots add to it.
+_REST = re.compile(r"\s?[^\s@]*(?:\s?[(\[{]?(?:dot|DOT)[)\]}]?\s?[^\s@]+)*")
 
 
 def _emails(text: str) -> Iterator[re.Match]:
+    """Matches around signs, each from the beginning of the run of characters before it to the end of the one after it, however long they are."""
     done = 0
     for hit in _AT.finditer(text):
-        lo = len(text[max(done, hit.start() - 200) : hit.start()].rstrip())
-        head = text[max(done, hit.start() - 200) : max(done, hit.start() - 200) + lo]
-        start = max(done, hit.start() - 200) + max(head.rfind(c) for c in " \n\t") + 1
-        for m in _EMAIL.finditer(text, start, min(len(text), hit.end() + 200)):
-            done = m.end()
+        if hit.start() < done:
+            continue
+        end = hit.start()
+        while end > done and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_.+'-"):
+            start -= 1
+        while start < end and not (text[start].isalnum() and (text[start] < "\x80" or "À" <= text[start] <= "ÿ")):
+            start += 1
+        m = _EMAIL.match(text, start, _REST.match(text, hit.end()).end()) if start < end else None  # type: ignore[union-attr]
+        if m:
             yield m
-            break
+        done = m.end() if m else end
 
 
 _TITLES = set("mr mrs ms miss dr prof professor sir dame herr frau fräulein señor señora señorita don doña sr sra srta monsieur madame mademoiselle mme mlle doctor doctora docteur dra".split())
@@ -110,6 +124,11 @@ _NAME_LABEL = re.compile(
 )
 
 
+#: Commands that name an account on a machine, and words before a number that counts things. Fixed values.
+_REMOTE = re.compile(r"\b(?:scp|ssh|sftp|rsync|git\s+(?:clone|fetch|pull|push|remote\s+add\s+\w+))\b[^\n]*$|\b(?:ssh|git|sftp)://$", re.I)
+_COUNTED = re.compile(r"\b(?:about|over|some|nearly|almost|than|all|these|those|first|last|another|every|counts?|counted)\s+$", re.I)
+
+
 @dataclass
 class Candidate:
     kind: str
@@ -213,7 +232,10 @@ def candidates(text: str, words_of: Words | None = None) -> list[Candidate]:
         out.append(Candidate(kind, start, end, t, own, around, marks, label))
 
     for m in _emails(text):
-        add("email", m.start(), m.end(), [], [], 1)
+        # an account on a machine: a path follows, or a command for other machines comes before
+        path = bool(re.match(r":[^\s:]", text[m.end() : m.end() + 2]))
+        command = bool(_REMOTE.search(text[max(0, m.start() - 60) : m.start()]))
+        add("email", m.start(), m.end(), [f"sign={'@' in m.group()}"], [f"path={path}", f"command={command}"], 0 if path or command else 1)
     digits = re.search(r"\d", text)
     if digits:
         matches = list(_ID.finditer(text))
@@ -239,7 +261,8 @@ def candidates(text: str, words_of: Words | None = None) -> list[Candidate]:
         for m in _addresses(text):
             t = m.group()
             kind = "num-first" if t[0].isdigit() else "num-last"
-            add("street_address", m.start(), m.end(), [kind, f"words={len(t.split())}"], [], 1)
+            counted = kind == "num-first" and bool(_COUNTED.search(text[max(0, m.start() - 30) : m.start()]))
+            add("street_address", m.start(), m.end(), [kind, f"words={len(t.split())}"], [f"counted={counted}"], 0 if counted else 1)
     seen: set[tuple[int, int]] = set()
     for start, end, tokens, swapped in _name_spans(text):
         if (start, end) in seen or "\n" in text[start:end]:
@@ -289,24 +312,36 @@ class Model:
     words: Words
 
 
-def marginals(cands: list[Candidate], model: Model, rounds: int = 6) -> np.ndarray:
-    """Loopy belief propagation over the binary nodes; returns P(node is personal information)."""
+def marginals(cands: list[Candidate], model: Model) -> np.ndarray:
+    return propagate(cands, model)[0]
+
+
+def propagate(cands: list[Candidate], model: Model, tolerance: float = 1e-3, rounds: int = 100) -> tuple[np.ndarray, bool]:
+    """(P(node is personal information), settled) by damped loopy belief propagation over the binary nodes.
+
+    Messages are sent until none changes by more than ``tolerance``, or ``rounds`` times; then
+    it is not settled.
+    """
     unary = np.array([model.weights[c.features + c.context + c.anchors].sum() for c in cands])
     chain, skip = edges(cands)
     pairs = [(a, b, model.chain) for a, b in chain] + [(a, b, model.skip) for a, b in skip]
     if not pairs:
-        return 1 / (1 + np.exp(-np.clip(unary, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(unary, -30, 30))), True
     src = np.array([p[0] for p in pairs] + [p[1] for p in pairs])
     dst = np.array([p[1] for p in pairs] + [p[0] for p in pairs])
     w = np.array([p[2] for p in pairs] * 2)
     back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
     msg = np.zeros(len(src))  # log odds sent along each directed edge; potential w if both ends agree on 1
+    settled = False
     for _ in range(rounds):
         total = unary + np.bincount(dst, weights=msg, minlength=len(unary))
         into = np.clip(total[src] - msg[back], -30, 30)
-        msg = 0.5 * msg + 0.5 * (np.logaddexp(0, into + w) - np.logaddexp(0, into))
+        sent = 0.5 * msg + 0.5 * (np.logaddexp(0, into + w) - np.logaddexp(0, into))
+        settled, msg = bool(np.abs(sent - msg).max() <= tolerance), sent
+        if settled:
+            break
     total = unary + np.bincount(dst, weights=msg, minlength=len(unary))
-    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30))), settled
 
 
 def _train(rows: list[list[int]], ys: list[float], sums: list[tuple[int, int]], epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -392,13 +427,15 @@ _PRIORITY = {k: i for i, k in enumerate(KINDS)}
 
 
 def spans(text: str | None, model: Model) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the personal information in a text, in order, without overlaps."""
-    if not text:
-        return []
-    cands = candidates(text, model.words)
+    return settled_spans(text, model)[0]
+
+
+def settled_spans(text: str | None, model: Model) -> tuple[list[tuple[str, int, int]], bool]:
+    """(kind, start, end) of the personal information in a text, in order, without overlaps; and whether its messages settled."""
+    cands = candidates(text, model.words) if text else []
     if not cands:
-        return []
-    p = marginals(cands, model)
+        return [], True
+    p, settled = propagate(cands, model)
     # of overlapping spans the longest stays, and names give way to all other kinds
     rank = sorted((i for i in range(len(cands)) if p[i] > 0.5), key=lambda i: (cands[i].kind == "person_name", cands[i].start - cands[i].end, -p[i], _PRIORITY[cands[i].kind], cands[i].start))
     taken: list[tuple[str, int, int]] = []
@@ -406,7 +443,7 @@ def spans(text: str | None, model: Model) -> list[tuple[str, int, int]]:
         c = cands[i]
         if all(c.end <= s or e <= c.start for _, s, e in taken):
             taken.append((c.kind, c.start, c.end))
-    return sorted(taken, key=lambda x: x[1])
+    return sorted(taken, key=lambda x: x[1]), settled
 
 
 def redact(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
@@ -437,16 +474,18 @@ def phrases(text: str) -> dict[str, bool]:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, share: float = 0.002) -> Model:
-    """Fit on ``sample`` distinct texts, or all if there are fewer: those of the least hashes.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, share: float = 0.002, longest: int = 20_000) -> Model:
+    """Fit on ``sample`` distinct texts of at most ``longest`` characters, or all if there are fewer: those of the least hashes.
 
-    What the corpus says about words and phrases is counted over all documents.
+    So the sample is bounded in bytes too. What the corpus says about words and phrases is
+    counted over all documents, whole.
     """
     text = F.col(f"`{text_col}`")
     texts = materialise(docs.where(text.isNotNull()).select(text.alias("t")).distinct(), "texts")
     words = words_of(texts, share)
-    least = texts.select(F.xxhash64("t").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = texts.where(F.xxhash64("t") <= F.lit(least)).collect() if least is not None else []
+    short = texts.where(F.length("t") <= longest)
+    least = short.select(F.xxhash64("t").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = short.where(F.xxhash64("t") <= F.lit(least)).collect() if least is not None else []
     return fit(sorted(r["t"] for r in rows), words.common, words=words)
 
 
@@ -503,7 +542,7 @@ def words_of(texts: DataFrame, share: float = 0.002, vocabulary: int = VOCABULAR
 
 
 def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, redacted, found): every row with its redacted text and the array of (kind, start, found_text).
+    """(id, text, redacted, found, settled): every row with its redacted text, the array of (kind, start, found_text), and whether its messages settled.
 
     Null texts stay null and hold nothing; empty ones stay empty; all else of a text
     is unchanged. Rows with equal text are judged alike.
@@ -514,13 +553,14 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = handle.value
         for pdf in batches:
-            redacted, found = [], []
+            redacted, found, settled = [], [], []
             for t in pdf["text"]:
-                s = spans(t, m)
+                s, ok = settled_spans(t, m)
+                settled.append(ok)
                 redacted.append(redact(t, s))
                 found.append([{"kind": k, "start": a, "found_text": t[a:b]} for k, a, b in s])
-            yield pd.DataFrame({"id": pdf["id"], "text": pdf["text"], "redacted": redacted, "found": found})
+            yield pd.DataFrame({"id": pdf["id"], "text": pdf["text"], "redacted": redacted, "found": found, "settled": settled})
 
-    schema = f"id {kind}, text string, redacted string, found array<struct<kind:string,start:int,found_text:string>>"
+    schema = f"id {kind}, text string, redacted string, found array<struct<kind:string,start:int,found_text:string>>, settled boolean"
     rows = spread(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
     return rows.mapInPandas(scan, schema).withColumnRenamed("id", id_col)

@@ -81,3 +81,25 @@ def test_query(spark, sf):
     found = queries.p9_found(spark, sf)
     assert found.count() == found.distinct().count() > 0
     assert {r["kind"] for r in found.select("kind").distinct().collect()} <= set(pii.KINDS)
+
+
+def test_accounts_on_machines_are_no_addresses():
+    model = pii.fit([*(f"Write to person{i}@mail{i % 7}.org before the day ends." for i in range(60)), *(f"git clone git@host{i}.net:team/tool.git and scp me@box{i}.lan:/x here." for i in range(60))], frozenset())
+    found = lambda t: [t[a:b] for k, a, b in pii.spans(t, model) if k == "email"]
+    assert found("Then scp jo@box.lan:/tmp/x here.") == [] and found("Use git@example.net:a/b.git now.") == []
+    assert found("Then write to jo@box.lan here.") == ["jo@box.lan"]
+
+
+def test_long_addresses_are_found_whole():
+    long = "a" * 300 + "@" + ".".join(["part" * 10] * 10) + ".org"
+    text = f"See {long} and x @ y, or jo (at) box (dot) org."
+    assert [m.group() for m in pii._emails(text)] == [long, "jo (at) box (dot) org"]
+    street = "Calle " + " ".join(["de los Santos"] * 15) + " 12"
+    assert len(street) > 150 and street in [m.group() for m in pii._addresses(f"Vive en {street}, Madrid.")]
+    assert len(list(pii._emails("@" * 20_000 + "x" * 200_000))) == 0
+
+
+def test_messages_settle_or_say_so():
+    model = pii.fit(["Signed, Anna Lindt. Call 030 1234567 and ask for Anna Lindt."] * 20, frozenset())
+    cands = pii.candidates("Anna Lindt wrote. Later Anna Lindt called 030 1234567.", model.words)
+    assert pii.propagate(cands, model)[1] and not pii.propagate(cands, model, tolerance=0.0, rounds=1)[1]
