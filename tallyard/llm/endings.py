@@ -20,6 +20,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+")
 _JSON = re.compile(r"(?:^|\n)\s*(?=[\[{]\s*[\"{\[])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _LONG = 3
+_MARKS = ".!?\"'”’»)]*_,;:–—"
 
 
 def _bare(text: str) -> str:
@@ -51,7 +52,7 @@ def _unbalanced(text: str) -> bool:
 
 def last_words(sentence: str) -> tuple[str, str, str]:
     """The last three, two and one words in lower case, without the marks that close them; '' where there are fewer."""
-    w = re.sub(r"[\s.!?\"'”’»)\]*_]+$", "", sentence).lower().split()
+    w = sentence.rstrip(" \t\r" + _MARKS).lower().split()
     return tuple(" ".join(w[-k:]) if len(w) >= k else "" for k in (3, 2, 1))  # type: ignore[return-value]
 
 
@@ -114,35 +115,31 @@ def ending(text: str | None) -> tuple[str, str, str, str, str]:
     return (OPEN, "sentence", *last_words(sentence))
 
 
-_TAIL = re.compile(r"[.!?\"'”’»)\]*_,;:–—]+$")
-
-
-def interior(text: str | None) -> Iterator[tuple[str, str, bool]]:
-    """(kind, key, closing) of all words that stand in something finished.
+def interior(text: str | None) -> dict[tuple[str, bool], list[str]]:
+    """(kind, closing) to the last words that stand in something finished, repeated ones too.
 
     kinds: 't' three words, 'p' a pair, 'w' one. closing: they are the last of a sentence
     that has its mark, or of a list item, and the text goes on after it; else a word follows
     them in the same sentence.
     """
+    out: dict[tuple[str, bool], list[str]] = {(k, c): [] for k in "tpw" for c in (False, True)}
     lines = [x.strip() for x in (text or "").split("\n") if x.strip()]
     for i, line in enumerate(lines):
         end = i == len(lines) - 1
         item = _ITEM.match(line)
         parts = [item.group(1)] if item else _SENTENCE.split(line)
         for at, s in enumerate(parts):
-            w = s.lower().split()
             over = end and at == len(parts) - 1
-            for j in range(len(w) - 1 - over):  # the word before an open end may go on anywhere
-                x = _TAIL.sub("", w[j])
-                yield "w", x, False
-                if j:
-                    yield "p", " ".join(w[j - 1 : j + 1]), False
-                if j > 1:
-                    yield "t", " ".join(w[j - 2 : j + 1]), False
+            w = s.lower().split()
+            go = w[: len(w) - 1 - over]  # the word before an open end may go on anywhere
+            out["w", False] += [x.rstrip(_MARKS) for x in go]
+            out["p", False] += map(" ".join, zip(go, go[1:]))
+            out["t", False] += map(" ".join, zip(go, go[1:], go[2:]))
             if not over and (item or _FINAL.search(s)):
                 for kind, key in zip("tpw", last_words(s)):
                     if key:
-                        yield kind, key, True
+                        out[kind, True].append(key)
+    return out
 
 
 def _places(words: list[str], run: list[str]) -> list[int]:

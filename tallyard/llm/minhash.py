@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -36,15 +37,18 @@ def jaccard(a: str, b: str) -> float:
 
 #: Beginnings of this many words are measured: a text of n words is compared over more than half of them.
 BEGINNINGS = tuple(6 * 2**i for i in range(40))
+ENDS = np.array(BEGINNINGS) - SHINGLE + 1
 #: 6 bands of 3 for each beginning: similarity 0.8 meets with probability 0.986, an exact beginning always.
 PREFIX_BANDS, PREFIX_ROWS = 6, 3
 
 
-def prefix_shingles(late: str, early: str) -> set[tuple[str, ...]]:
-    """The shingles of the beginning of ``late`` that is as long as ``early``, and of half a shingle set more for insertions."""
-    n = len(shingle_words(early))
-    w = shingle_words(late)[: n + n // 4 + SHINGLE]
-    return set(zip(*(w[i:] for i in range(SHINGLE)))) if len(w) >= SHINGLE else set()
+def grams_of(words: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(*(words[i:] for i in range(SHINGLE))))
+
+
+def beginning_grams(words: list[str], n: int) -> set[tuple[str, ...]]:
+    """The shingles of the first n words, and of a quarter more for insertions."""
+    return grams_of(words[: n + n // 4 + SHINGLE])
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,23 +108,29 @@ def prefix_keys(texts: DataFrame) -> DataFrame:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _coefficients(PREFIX_BANDS * PREFIX_ROWS)
         mix = np.arange(1, PREFIX_ROWS + 1, dtype="uint64") * np.uint64(0xC2B2AE3D27D4EB4F)
-        marks = [np.arange(PREFIX_BANDS, dtype="uint64") + np.array(c % (1 << 63), dtype="uint64") * np.array([0x9E3779B97F4A7C15], dtype="uint64") for c in BEGINNINGS]
+        marks = np.array(BEGINNINGS, dtype="uint64")[:, None] * np.array([[0x9E3779B97F4A7C15]], dtype="uint64") + np.arange(PREFIX_BANDS, dtype="uint64")
         for pdf in batches:
             out = []
             for tid, text, is_open in zip(pdf["tid"], pdf["text"], pdf["open"]):
                 w = shingle_words(text)
                 if len(w) < BEGINNINGS[0]:
                     continue
-                s, least, at, every = _hashes(w), np.full(len(a), np.iinfo("uint64").max, dtype="uint64"), 0, []
-                for c, mark in zip(BEGINNINGS, marks):
-                    if c > len(w):
-                        break
-                    for lo in range(at, c - SHINGLE + 1, 4096):
-                        least = np.minimum(least, (s[lo : min(lo + 4096, c - SHINGLE + 1), None] * a + b).min(axis=0))
-                    at = c - SHINGLE + 1
-                    k = (least.reshape(PREFIX_BANDS, PREFIX_ROWS) * mix).sum(axis=1, dtype="uint64") * np.uint64(31) + mark
-                    every.append(k.view("int64"))
-                out.append((tid, is_open, every[-1], np.concatenate(every)))
+                s, least = _hashes(w), np.full(len(a), np.iinfo("uint64").max, dtype="uint64")
+                m = bisect_right(BEGINNINGS, len(w))
+                ends = ENDS[:m]
+                if ends[-1] <= 4096:
+                    minima = np.minimum.accumulate(s[: ends[-1], None] * a + b, axis=0)[ends - 1]
+                else:
+                    rows, at = [], 0
+                    for end in ends:
+                        for lo in range(at, end, 4096):
+                            least = np.minimum(least, (s[lo : min(lo + 4096, end), None] * a + b).min(axis=0))
+                        rows.append(least)
+                        at = end
+                    minima = np.stack(rows)
+                k = (minima.reshape(m, PREFIX_BANDS, PREFIX_ROWS) * mix).sum(axis=2, dtype="uint64") * np.uint64(31) + marks[:m]
+                every = k.view("int64")
+                out.append((tid, is_open, every[-1], every.ravel()))
             yield pd.DataFrame(out, columns=["tid", "open", "own", "all"])
 
     return spread(texts, "tid").mapInPandas(keys, "tid string, open boolean, own array<bigint>, all array<bigint>")

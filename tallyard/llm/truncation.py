@@ -12,6 +12,7 @@ structure decides.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from tallyard.durable import materialise
 from tallyard.llm import endings
-from tallyard.llm.minhash import SIMILAR, prefix_keys, prefix_shingles, shingles
+from tallyard.llm.minhash import SIMILAR, beginning_grams, grams_of, prefix_keys, shingle_words
 from tallyard.operators.spread import spread
 
 _ENDING = T.StructType([T.StructField(n, T.StringType()) for n in ("state", "kind", "three", "two", "one")])
@@ -97,12 +98,16 @@ def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
             for key, a, b, role, tid, text in zip(pdf["key"], pdf["ca"], pdf["cb"], pdf["role"], pdf["tid"], pdf["text"]):
                 if (key, a, b) != group:
                     group, waiting = (key, a, b), {}
+                w = shingle_words(text)
                 if role == 0:
-                    waiting[tid] = (text, shingles(text))
+                    waiting[tid] = (text, len(w), grams_of(w))
                     continue
-                for q in [q for q in waiting if q != tid]:
-                    early, grams = waiting[q]
-                    if grams and len(grams & prefix_shingles(text, early)) >= SIMILAR * len(grams) and (verdict := endings.align(early, text)):
+                beginnings: dict[int, set] = {}
+                for q in [q for q, (_, n, _) in waiting.items() if q != tid and n <= len(w) + 1]:
+                    early, n, grams = waiting[q]
+                    if n not in beginnings:
+                        beginnings[n] = beginning_grams(w, n)
+                    if grams and len(grams & beginnings[n]) >= SIMILAR * len(grams) and (verdict := endings.align(early, text)):
                         out.append((q, verdict))
                         if verdict == endings.CUT:
                             del waiting[q]
@@ -117,20 +122,24 @@ def _closing_statistics(texts: DataFrame) -> DataFrame:
     """(kind, key, closes, goes_on) of all texts: how often last words close a finished sentence or item, and how often something follows them."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, str], list[int]] = {}
+        seen: dict[tuple[str, bool], Counter] = {}
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame([(k, w, c, n) for (k, w), (c, n) in seen.items()], columns=["kind", "key", "closes", "goes_on"])
+        def flush() -> Iterator[pd.DataFrame]:
+            for (kind, closing), n in seen.items():
+                if not n:
+                    continue
+                times = list(n.values())
+                none = [0] * len(n)
+                yield pd.DataFrame({"kind": [kind] * len(n), "key": list(n), "closes": times if closing else none, "goes_on": none if closing else times})
 
         for pdf in batches:
             for t in pdf["text"]:
-                for k, w, closing in endings.interior(t):
-                    s = seen.setdefault((k, w), [0, 0])
-                    s[0 if closing else 1] += 1
-            if len(seen) > 400_000:
-                yield flush()
+                for k, keys in endings.interior(t).items():
+                    seen.setdefault(k, Counter()).update(keys)
+            if sum(map(len, seen.values())) > 1_000_000:
+                yield from flush()
                 seen = {}
-        yield flush()
+        yield from flush()
 
     parts = texts.select("text").mapInPandas(partial, "kind string, key string, closes bigint, goes_on bigint")
     return parts.groupBy("kind", "key").agg(F.sum("closes").alias("closes"), F.sum("goes_on").alias("goes_on"))
