@@ -20,9 +20,7 @@ from tallyard.plans.windows import with_holm
 from tallyard.sources.fixtures import CTE, full, quality, responses, yes_no
 
 QUERIES, SQL, query = registry()
-#: As many as the reference draws: analyze_panel.py:51-53 (permutations, bootstraps of ratios and of the best peer as in
-#: build_robust.py:39, AUC), stats_revision.py:62-63 (sign flips, bootstraps), peer_discrimination.py:98 (like for like),
-#: generative_match.py:248 (references).
+#: Draws: within blocks, bootstraps of ratios and of the best peer, AUC, sign flips, bootstraps of rates, like for like, references.
 WITHIN, RATIO_BOOT, AUC, FLIPS, BOOT, LIKE_FLIPS, REFERENCES = 4_000, 4_000, 2_000, 20_000, 10_000, 100_000, 2_000
 #: Positions whose bootstrap draws are turned round together.
 POSITIONS = 256
