@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyard.durable import materialise, ship
 from tallyard.functions import text
+from tallyard.functions.lexicons import FUNCTION_WORDS
 from tallyard.operators.delivery import keep_one
 from tallyard.operators.ordering import mid_ranks
 from tallyard.plans.registry import registry
@@ -75,24 +76,26 @@ def _words(df: DataFrame) -> DataFrame:
 _WORDS_SQL = "select doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_](?:[\\p{L}\\p{N}_''-]*[\\p{L}\\p{N}_])?'), lambda x: lower(x))) as term from documents"
 
 
-@query("with " + _sql_tfidf(_WORDS_SQL) + " select doc_id, term, round(w, 6) as w from wv")
+_GRAMS_SQL = "select doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) as term from (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_](?:[\\p{L}\\p{N}_''-]*[\\p{L}\\p{N}_])?'), lambda x: lower(x)) as w from documents)"
+
+
+@query("with " + _sql_tfidf(_GRAMS_SQL) + " select doc_id, term, round(w, 6) as w from wv")
 def sim02_word_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf(_words(table(spark, sf_dir, "documents", "doc_id", "text"))).select("doc_id", "term", r6("w").alias("w"))
+    """Words and pairs of neighbouring words."""
+    w = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.transform(text.tokens(text.strip(F.col("text"))), F.lower).alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.size("w")), lambda x, y: F.concat(x, F.lit(" "), y))
+    return tfidf(w.select("doc_id", F.explode(F.concat("w", pairs)).alias("term"))).select("doc_id", "term", r6("w").alias("w"))
 
 
-@query("with " + _sql_tfidf("select doc_id, unnest(list_transform(range(1, greatest(length(w) - 1, 1)), lambda i: substr(w, i, 3))) as term from (select response_no as doc_id, ' ' || unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\p{Z}]+'), lambda x: x <> '')) || ' ' as w from responses)") + " select doc_id, count(*) as terms, round(sum(w), 5) as weight from wv group by doc_id")
+@query("with " + _sql_tfidf("select doc_id, unnest(flatten(list_transform(range(3, least(length(w), 5) + 1), lambda n: list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n))))) as term from (select response_no as doc_id, ' ' || unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\p{Z}]+'), lambda x: x <> '')) || ' ' as w from responses)") + " select doc_id, count(*) as terms, round(sum(w), 5) as weight from wv group by doc_id")
 def sim03_char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character trigrams within blank-padded words."""
+    """Three to five characters within blank-padded words; a shorter word stands for itself."""
     t = table(spark, sf_dir, "responses", "response_no", "text").withColumnRenamed("response_no", "doc_id")
     padded = t.select("doc_id", F.explode(text.white_words(F.lower("text"))).alias("w")).select("doc_id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-    grams = padded.select("doc_id", F.explode(F.expr("transform(sequence(1, greatest(length(w) - 2, 1)), i -> substring(w, i, 3))")).alias("term"))
+    grams = padded.select("doc_id", F.explode(F.expr("flatten(transform(sequence(3, least(length(w), 5)), n -> transform(sequence(1, length(w) - n + 1), i -> substring(w, i, n))))")).alias("term"))
     return tfidf(grams).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("w"), 5).alias("weight"))
 
 
-#: The function words whose frequencies are compared.
-FUNCTION_WORDS = ("the", "of", "and", "a", "to", "in", "is", "that", "it", "was", "for", "with", "as", "but", "not", "or")
-
-
 def _is(word: str):
     return lambda x: x == word
 
