@@ -113,7 +113,14 @@ def test_gee_equals_a_dense_solver():
     assert solve([4], [0], [1], [0], [10]) is None
 
 
-def test_all_orders_of_four_are_used():
-    from tallyard.plans.resampling import _PERMS
-
-    assert sorted(map(tuple, _PERMS)) == sorted(itertools.permutations(range(4)))
+def test_all_orders_of_a_block_are_used(spark, sf):
+    from tallyard.plans.resampling import sta25_shuffle_floor
+    from tallyard.sources.fixtures import full
+
+    j = full(spark, sf).where("is_self = 0").select("cond", "judge", "block", "author", "guess").toPandas()
+    want = {}  # over all orders a guess stands at each author's place equally often
+    for (cond, judge, _), b in j.groupby(["cond", "judge", "block"]):
+        hits = sum(a == g for a, g in itertools.product(b["author"], b["guess"])) / len(b)
+        want[cond, judge] = want.get((cond, judge), 0.0) + hits
+    got = {(r["cond"], r["judge"]): r["floor"] for r in sta25_shuffle_floor(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
